@@ -1,11 +1,15 @@
 """Queries of the training-data operators, and the SQL to hold them against."""
 
-from . import decontaminate
+from . import decontaminate, license, neardup
 
 QUERIES = {
     "op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination,
+    "op2_license_templates": license.op2_license_templates,
+    "op3_bbit_minhash": neardup.op3_bbit_minhash,
 }
 
 ORACLE_SQL = {
     "op1_winnowing_decontamination": decontaminate.SQL,
+    "op2_license_templates": license.SQL,
+    "op3_bbit_minhash": neardup.SQL,
 }
