@@ -5,6 +5,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,28 @@ def sql_fold(expr: str) -> str:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without its columns of these names, which an operator adds anew."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+FILTER = 1 << 21  #: buckets of the filter of likely()
+
+
+def likely(keys: DataFrame, *columns: str):
+    """A condition that holds for all rows whose ``columns`` are in keys, and for few others as long as keys are few.
+
+    One bit for each of FILTER buckets of the columns' hash, whatever the number of keys: what is sent
+    to the executors has this fixed size.  It spares rows without a partner the shuffle of a join that
+    follows, and decides nothing.
+    """
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(FILTER)).cast("int")
+    ones = np.zeros(FILTER, dtype=bool)
+    ones[keys.select(bucket.alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
+    sent = keys.sparkSession.sparkContext.broadcast(np.packbits(ones))
+
+    @F.pandas_udf("boolean")
+    def has(b):
+        import pandas as pd
+
+        b = b.to_numpy()
+        return pd.Series((sent.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
+
+    return has(bucket)

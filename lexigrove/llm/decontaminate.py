@@ -167,6 +167,7 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
     prints = keyed.select("_row", "_sum", text).mapInArrow(f, "_row long, _sum long, fp long, run long, at int, n int")
     tests = tests.select(F.col("item_id").cast("string").alias("item"), "n", "run", F.when(F.col("n") == span, F.col("prints")[0]).otherwise(F.col("run")).alias("fp")).where("item is not null").distinct()
     found = prints.join(tests, ["fp", "run", "n"]).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("_at"))
+    columns = docs.columns
     joined = keyed.join(found, ["_row", "_sum"], "left").select(*docs.columns, "items", "_at")
     schema = _result(docs.schema)
 
@@ -182,10 +183,10 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
                 hits.append(int(mask.sum()))
                 spans.append(_spans(mask))
             names = [x or [] for x in batch.column(batch.schema.get_field_index("items")).to_pylist()]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in docs.columns]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(many, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                [*docs.columns, "n_words", "n_hit", "items", "spans"],
+                [*columns, "n_words", "n_hit", "items", "spans"],
             )
 
     return joined.mapInArrow(g, schema)
