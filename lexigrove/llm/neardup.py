@@ -10,8 +10,10 @@ A band holds ROWS minima: a link of similarity 0.7 shares none of the BANDS band
 (1 - 0.7**3)**40 = 5e-8, and is rejected by bit counts (five standard deviations) with 3e-7.
 
 Candidates are never all pairs of a band's group.  First each node meets the least node of its
-group; links found so join nodes to classes, and only nodes of one group that are still in different
-classes meet each other.  That loses no link between classes, as links inside a class can't change it.
+group; links found so join nodes to classes.  Only in groups that still hold several classes, nodes of
+different classes are compared, in blocks of at most 2 * BLOCK nodes, by signatures of FINE one-bit
+minima; what leaves a task are the few pairs that these let through (0.7 is five standard deviations
+above their limit).  That loses no link between classes, as links inside a class can't change it.
 
 Nulls, empty texts: an empty set, linked with nothing.  Rows that repeat a doc_id are one node of
 the graph, whatever their texts.  Rows without doc_id form no link: their component is null, kept true.
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import SPACE_RE, sql_fold, stage, table, work_path
+from .common import SPACE_RE, likely, sql_fold, stage, table, work_path
 
 SHINGLE, BANDS, ROWS, BITS = 5, 40, 3, 4
+FINE, BLOCK = 1024, 256
 LEAST = 0.7
 
 
@@ -130,6 +133,87 @@ def _similar(x: str, y: str, bands: int, rows: int, bits: int, least: float):
     return other <= most
 
 
+def _fine(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(id, sign): FINE one-bit minima, packed, of the texts of ids."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def f(batches):
+        tabs, pw = K.tables(K.SPACE), K.Powers()
+        rng = np.random.default_rng(11)
+        times, plus = rng.integers(0, 2**64, FINE, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, FINE, dtype=np.uint64)
+        for batch in batches:
+            for lo, hi, data, offs in K.chunks(batch.column(1)):
+                sets = list(_sets(data, offs, tabs, pw, size))
+                n = np.array([len(s) for s in sets])
+                full = np.flatnonzero(n)
+                bits = np.zeros((len(n), FINE), dtype=np.uint8)
+                x = np.concatenate(sets)
+                first = np.concatenate(([0], np.cumsum(n)))[full].astype(np.int64)
+                for j in range(FINE if len(full) else 0):
+                    # the top bits order the minima, so that the lowest one is independent of them
+                    bits[full, j] = K.mix(np.minimum.reduceat(x * times[j] + plus[j], first)) & np.uint64(1)
+                packed = np.packbits(bits, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "sign"])
+
+    return _texts(docs, ids, doc_id, text).mapInArrow(f, f"id {kind}, sign binary").dropDuplicates(["id"])
+
+
+def _texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text) of ids (id); texts of other rows are hardly shuffled."""
+    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return narrow.where(likely(ids, "id")).join(ids, "id", "left_semi")
+
+
+def _blocks(mixed: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of one band's group in mixed (band, id, comp, members), in different classes, that
+    signatures let through.  A group is cut into blocks of about BLOCK nodes by hash; a task sees two of them."""
+    kind = mixed.schema["id"].dataType.simpleString()
+    parts = F.ceil(F.col("members") / BLOCK)
+    own = F.pmod(F.xxhash64("id"), parts)
+    rows = mixed.join(signs, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "id", "comp", "sign")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    chance = 0.5 + 0.5 * least
+    most = FINE * (1 - chance) + 5 * (FINE * chance * (1 - chance)) ** 0.5
+
+    def pairs(t):
+        own, comp = t.column("own").to_numpy(), t.column("comp").to_pylist()
+        _, comp = np.unique(np.array(comp), return_inverse=True)
+        sign = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sign")])
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for r in left:
+            to = right[comp[right] != comp[r]]
+            if i == j:
+                to = to[to > r]
+            if len(to):
+                to = to[np.bitwise_count(sign[to] ^ sign[r]).sum(axis=1) <= most]
+                out.append((np.full(len(to), r), to))
+        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
+        ids = t.column("id")
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    def f(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            t = t.combine_chunks()
+            if not len(t):
+                continue
+            keys = [t.column(c).to_numpy() for c in ("band", "i", "j")]
+            new = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if len(t) > 1 else np.zeros(0, int)
+            ends = [0, *new.tolist(), len(t)]
+            for a, z in zip(ends[:-2], ends[1:-1]):
+                yield pairs(t.slice(a, z - a).combine_chunks().to_batches()[0])
+            rest = t.slice(ends[-2])
+        if rest is not None:
+            yield pairs(rest.combine_chunks().to_batches()[0])
+
+    out = rows.mapInArrow(f, f"a {kind}, b {kind}")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach ``percent`` of their union.  Only the texts of the pairs are read again."""
     pairs = stage(pairs, "pairs")
@@ -143,8 +227,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
                 sets = [s.tobytes() for s in _sets(data, offs, tabs, pw, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "words"])
 
-    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sets = stage(narrow.join(ids, "id", "left_semi").mapInArrow(f, f"id {kind}, words binary").distinct(), "sets")
+    sets = stage(_texts(docs, ids, doc_id, text).mapInArrow(f, f"id {kind}, words binary").distinct(), "sets")
 
     def g(batches):
         for batch in batches:
@@ -171,7 +254,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Links join sets with 100 * |intersection| >= percent * |union|.  n_links counts the confirmed
     links of the row's set to other sets that were needed to find the classes.
     """
-    spark = docs.sparkSession
     sig = stage(signatures(docs, doc_id, text, size, bands, rows, bits), "signatures")
     some = sig.where("n > 0 AND id IS NOT NULL")
     nodes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -185,21 +267,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     low = reps.select("id", "bits")
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
         x = pairs.join(low.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
         x = x.join(low.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
         return x.where(_similar("x", "y", bands, rows, bits, percent / 100)).select("a", "b").distinct()
 
     star = stage(groups.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
-    links = _confirm(likely(star), docs, doc_id, text, size, percent)
+    links = _confirm(alike(star), docs, doc_id, text, size, percent)
     comp = components(links)
 
     named = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    named = stage(named.join(mixed, "band", "left_semi"), "mixed")
-    x, y = named.select("band", F.col("id").alias("x"), F.col("comp").alias("cx")), named.select("band", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    cross = x.join(y, "band").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(likely(cross), docs, doc_id, text, size, percent)
+    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("band", "members")
+    mixed = stage(named.join(mixed, "band"), "mixed")
+    signs = stage(_fine(docs, mixed.select("id").distinct(), doc_id, text, size), "signs")
+    cross = _blocks(mixed, signs, percent / 100).join(star, ["a", "b"], "left_anti")
+    more = _confirm(cross, docs, doc_id, text, size, percent)
 
     links = stage(links.union(more).distinct(), "links")
     again = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # a doc_id with several texts
