@@ -51,12 +51,12 @@ def powers(base: int, n: int):
 class Powers:
     """Powers of the base and of its inverse, as far as a chunk needs."""
 
-    def __init__(self):
-        self.n = 0
+    def __init__(self, least: int = CHUNK * 2):
+        self.n, self.least = 0, least
 
     def upto(self, n: int):
         if n > self.n:
-            self.n = max(n, CHUNK * 2)
+            self.n = max(n, self.least)
             self.up, self.down = powers(_P, self.n), powers(pow(_P, -1, 2**64), self.n)
         return self.up, self.down
 
@@ -114,7 +114,7 @@ class Words:
 def word_hash(word: str, kind: str = WORD) -> int:
     """The hash that Words gives this word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)
-    return int(Words(data, np.array([0, len(data)]), tables(kind), Powers()).hash[0])
+    return int(Words(data, np.array([0, len(data)]), tables(kind), Powers(0)).hash[0])
 
 
 def grams(h, n: int):

@@ -77,6 +77,8 @@ class Automaton:
         self.label, self.edges, self.n = label, {}, 1
         self.final = self._add(parse(template), 0)
         self.starts = {w for w, _, _ in self._moves({0})}
+        self.pairs = {(w, x) for w, _, to in self._moves({0}) for x, _, _ in self._moves({to})}  # the first two words; None: any
+        self.pairs |= {(w, None) for w, _, to in self._moves({0}) if self.final in self._closure({to})}
         if None in self.starts or self.final in self._closure({0}):
             raise ValueError(f"{label}: a template must start with fixed words")
 
@@ -160,6 +162,9 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
         seqs = [(np.array([K.word_hash(w) for w in words(p)], dtype=np.uint64), label) for p, label in phrases.items()]
         automata = [Automaton(*x) for x in templates]
         starts = np.array(sorted({K.word_hash(w) for a in automata for w in a.starts}), dtype=np.uint64)
+        pairs = {(w, x) for a in automata for w, x in a.pairs}
+        loose = np.array([K.word_hash(w) for w, x in pairs if x is None], dtype=np.uint64)
+        tight = K.mix(np.array([K.word_hash(w) for w, x in pairs if x is not None], dtype=np.uint64)) + np.array([K.word_hash(x) for _, x in pairs if x is not None], dtype=np.uint64)
         by = {}
         for a in automata:
             for w in a.starts:
@@ -181,6 +186,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
                     for x in p.tolist():
                         base.setdefault(int(w.doc[x]), []).append((x - int(w.first[w.doc[x]]), label))
                 p = at[np.isin(w.hash[at], starts)]
+                follow = w.hash[np.minimum(p + 1, len(w.hash) - 1)] if len(p) else w.hash[:0]
+                p = p[np.isin(K.mix(w.hash[p]) + follow, tight) | np.isin(w.hash[p], loose)]
                 for d in np.unique(w.doc[p]).tolist():
                     own = p[w.doc[p] == d]
                     a, z = int(w.first[d]), int(w.first[d + 1])
