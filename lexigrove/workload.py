@@ -1,8 +1,338 @@
 """Queries over the driver's tables, and the SQL that each is held against."""
 
+from __future__ import annotations
+
+import uuid
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import analyze as A
+from .functions import sql as S
+from .functions import text as X
+from .operators import dynamic, facets, retrieve, score
+from .operators.filters import condition
+from .operators.highlight import highlight
+from .operators.index import Index, build
+from .plans import oracle as O
+from .plans.engine import SearchEngine
+from .sources.workdir import shared_dir
+
+PLAIN, TYPO, COMMON = "worthless disgusting trash", "wortless disgustin trsh", "the thand of"
+PRODUCT = "small wigdet Brand#17"
+BOOSTS = {"p_name": 3.0, "p_brand": 2.0, "p_type": 1.0}
+LIMIT = 20
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_written: dict[tuple[str, str, str], Index] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """The index of a table, written down once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        index = _BUILD[name](spark, sf_dir)
+        base = f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+        parts = {}
+        docs = index.documents
+        index.postings.repartitionByRange("trigram").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{base}/postings")
+        postings = spark.read.parquet(f"{base}/postings")
+        docs.write.parquet(f"{base}/documents")
+        docs = spark.read.schema(docs.schema).parquet(f"{base}/documents")
+        for part, df in (("dictionary", postings.groupBy("trigram").agg(F.count("*").alias("df"))), ("stats", docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_trigrams"), F.lit(0)).cast("long").alias("trigram_sum")))):
+            df.write.parquet(f"{base}/{part}")
+            parts[part] = spark.read.schema(df.schema).parquet(f"{base}/{part}")
+        _written[key] = Index(docs, postings, parts["dictionary"], parts["stats"], None, index.fields)
+    return _written[key]
+
+
+def _documents(spark, sf_dir):
+    return build(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id", ["text"])
+
+
+def _products(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return build(part.withColumn("tags", F.split("p_name", " ")).withColumnRenamed("p_partkey", "doc_id"))
+
+
+def _conversations(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return build(turns, "conv_id")
+
+
+def _events(spark, sf_dir):
+    return dynamic.build(_table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", F.parse_json("props").alias("props"))).alias("json")), "event_id", "json")
+
+
+_BUILD = {"documents": _documents, "products": _products, "conversations": _conversations, "events": _events}
+
+_DOC = O.corpus("documents", "doc_id", ["text"])
+_PART = O.corpus("part", "p_partkey", list(BOOSTS))
+_DOC_FIELD = {"text": 1.0}
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _add(name: str, run, sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# text analysis and index
+
+_add("normalize_documents", lambda s, d: _table(s, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("normal")), f"SELECT doc_id, {S.normalize('text')} AS normal FROM documents")
+_add("normalize_pages_html", lambda s, d: _table(s, d, "pages").select("page_id", X.normalize(F.col("html")).alias("normal")), f"SELECT page_id, {S.normalize('html')} AS normal FROM pages")
+_add(
+    "tokenize_documents", lambda s, d: _table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(X.tokenize(F.col("text"))), " ").alias("trigrams")),
+    f"WITH {_DOC} SELECT doc_id, array_to_string(list_sort(g), ' ') AS trigrams FROM d",
+)
+_add("doc_trigram_counts", lambda s, d: _stored(s, d, "documents").documents.select("doc_id", F.col("n_trigrams").cast("long").alias("n_trigrams")), f"WITH {_DOC} SELECT doc_id, dl::BIGINT AS n_trigrams FROM d")
+_ORD = " + ".join(f"(instr('{A.ALPHABET}', substr(trigram, {i}, 1)) - 1) * {37 ** (3 - i)}" for i in (1, 2, 3))
+_add("trigram_ordinals", lambda s, d: _stored(s, d, "documents").dictionary.select("trigram", X.ordinal(F.col("trigram")).cast("long").alias("ordinal")), f"WITH {_DOC} SELECT trigram, ({_ORD})::BIGINT AS ordinal FROM df")
+_add("postings_build", lambda s, d: _stored(s, d, "documents").postings.select("trigram", "doc_id"), f"WITH {_DOC} SELECT trigram, doc_id FROM p")
+_add("dictionary_df", lambda s, d: _stored(s, d, "documents").dictionary.select("trigram", "df"), f"WITH {_DOC} SELECT trigram, df FROM df")
+_add(
+    "corpus_stats", lambda s, d: _stored(s, d, "documents").stats.select("n", "trigram_sum", F.round(F.col("trigram_sum") / F.col("n"), 6).alias("avgdl")),
+    f"WITH {_DOC} SELECT count(*) AS n, sum(dl)::BIGINT AS trigram_sum, round(sum(dl)::DOUBLE / count(*), 6) AS avgdl FROM d",
+)
+
+
+def _idf(s, d):
+    i = _stored(s, d, "documents")
+    return i.dictionary.crossJoin(F.broadcast(i.stats)).select("trigram", "df", F.round(score.idf(F.col("n").cast("double"), F.col("df")), 6).alias("idf"))
+
+
+_add("trigram_idf", _idf, f"WITH {_DOC} SELECT trigram, df, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE), 6) AS idf FROM df, st")
+
+
+def _terms(s, d):
+    i = _stored(s, d, "documents")
+    grams = A.tokenize(PLAIN)
+    x = i.postings.where(F.col("trigram").isin(grams)).join(F.broadcast(i.dictionary.where(F.col("trigram").isin(grams))), "trigram").join(i.documents.select("doc_id", "n_trigrams"), "doc_id")
+    x = x.crossJoin(F.broadcast(i.stats.select(F.col("n").cast("double").alias("n"), (F.col("trigram_sum") / F.col("n")).alias("avg"))))
+    return x.select("doc_id", "trigram", F.round(score.term(score.idf(F.col("n"), F.col("df")), score.norm(F.col("n_trigrams"), F.col("avg"))), 6).alias("weight"))
+
+
+_IN = ", ".join(f"'{t}'" for t in A.tokenize(PLAIN))
+_add("bm25_terms", _terms, f"WITH {_DOC} SELECT doc_id, trigram, round({O._TERM.replace('LEN', 'dl')}, 6) AS weight FROM p JOIN d USING (doc_id) JOIN df USING (trigram), st WHERE trigram IN ({_IN})")
+
+# retrieval
+
+
+def _hits(query, keep):
+    def run(s, d):
+        i = _stored(s, d, "documents")
+        grams = A.tokenize(query)
+        entries = retrieve.probe(retrieve.query_table(s, {0: query}), i.dictionary.where(F.col("trigram").isin(grams)))
+        return keep(retrieve.hits(i, entries, 5000, grams)).select("doc_id", F.col("hits").cast("long").alias("hits"), F.col("min_trank").cast("long").alias("min_trank"))
+
+    return run
+
+
+def _hits_sql(query, limit, where):
+    return f"WITH {_DOC}, {O.candidates(query, limit)} SELECT doc_id, hits::BIGINT AS hits, min_trank::BIGINT AS min_trank FROM {where}"
+
+
+_add("search_intersection", _hits(COMMON, retrieve.intersection), _hits_sql(COMMON, LIMIT, "ha WHERE hits = (SELECT max(k) FROM e)"))
+_add("search_union", _hits(PLAIN, lambda x: x), _hits_sql(PLAIN, LIMIT, "ha"))
+_add("search_adaptive", _hits(PLAIN, lambda x: retrieve.adaptive(x, LIMIT)), _hits_sql(PLAIN, LIMIT, "h"))
+
+
+def _search(name, table, query, key, cte, limit=LIMIT, cap=5000, boosts=None, filters=None, where="TRUE", deleted=None, deleted_sql="FALSE", fields=None):
+    def run(s, d):
+        i = _stored(s, d, table)
+        if deleted is not None:
+            i = i.with_tombstones(i.documents.where(deleted()).select("doc_id"))
+        return retrieve.search(i, query, limit, cap, boosts, filters).select("doc_id", "score", "hits")
+
+    scored = O.boosted_score(fields, key) if boosts else O.global_score()
+    _add(name, run, f"WITH {cte}, {O.candidates(query, limit, cap, deleted_sql)}, {O.kept(limit, key, where)}, {scored} {O.result()}")
+
+
+_search("search_basic", "documents", PLAIN, "doc_id", _DOC)
+_search("search_typo", "documents", TYPO, "doc_id", _DOC)
+_search("search_bm25_global", "documents", COMMON, "doc_id", _DOC, limit=50)
+_search("search_recency_cap", "documents", PLAIN, "doc_id", _DOC, cap=100)
+_search("search_tombstones", "documents", PLAIN, "doc_id", _DOC, deleted=lambda: F.col("doc_id") % 7 == 3, deleted_sql="doc_id % 7 = 3")
+_search("search_bm25_boosted", "products", PRODUCT, "p_partkey", _PART, boosts=BOOSTS, fields=BOOSTS)
+_search("search_limit_changes_candidates", "products", PRODUCT, "p_partkey", _PART, limit=200)
+
+_FILTERS = {
+    "eq": ({"field": "p_type", "op": "=", "value": "ECONOMY"}, "p_type = 'ECONOMY'"),
+    "ne": ({"field": "p_type", "op": "!=", "value": "ECONOMY"}, "p_type <> 'ECONOMY'"),
+    "gt": ({"field": "p_size", "op": ">", "value": 30}, "p_size > 30"),
+    "ge": ({"field": "p_size", "op": ">=", "value": 30}, "p_size >= 30"),
+    "lt": ({"field": "p_retailprice", "op": "<", "value": 950.5}, "p_retailprice < 950.5"),
+    "le": ({"field": "p_retailprice", "op": "<=", "value": "950.5"}, "p_retailprice <= 950.5"),
+    "in": ({"field": "p_brand", "op": "in", "value": ["Brand#17", "Brand#4"]}, "p_brand IN ('Brand#17', 'Brand#4')"),
+    "not_in": ({"field": "p_brand", "op": "not in", "value": ["Brand#17", "Brand#4"]}, "p_brand NOT IN ('Brand#17', 'Brand#4')"),
+    "contains": ({"field": "tags", "op": "contains", "value": "widget"}, "list_contains(string_split(p_name, ' '), 'widget')"),
+    "not_contains": ({"field": "tags", "op": "not contains", "value": "widget"}, "NOT list_contains(string_split(p_name, ' '), 'widget')"),
+}
+for _name, (_f, _where) in _FILTERS.items():
+    _search(f"search_filter_{_name}", "products", PRODUCT, "p_partkey", _PART, limit=40, filters={"and": [_f]}, where=_where)
+_search(
+    "search_filter_and_or", "products", PRODUCT, "p_partkey", _PART, limit=60,
+    filters={"and": [_FILTERS["gt"][0]], "or": [_FILTERS["eq"][0], _FILTERS["in"][0]]}, where="p_size > 30 AND (p_type = 'ECONOMY' OR p_brand IN ('Brand#17', 'Brand#4'))",
+)
+
+
+def _missing(s, d):
+    rows = _table(s, d, "documents").select("doc_id").join(_table(s, d, "labels"), "doc_id", "left")
+    return rows.where(condition({"and": [{"field": "quality", "op": "!=", "value": 0}], "or": [{"field": "toxic", "op": "=", "value": 1}, {"field": "nowhere", "op": "=", "value": 1}, {"field": "quality", "op": ">", "value": 0}]}, rows.schema)).select("doc_id")
+
+
+_add("search_filter_missing_field", _missing, "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE quality <> 0 AND (toxic = 1 OR quality > 0)")
+
+# presentation
+
+_GRAMS = "[" + _IN + "]"
+
+
+def _marked(excerpt):
+    def run(s, d):
+        top = retrieve.search(_stored(s, d, "documents"), PLAIN, LIMIT)
+        return top.select("doc_id", highlight(F.col("text"), A.tokenize(PLAIN), excerpt=excerpt).alias("marked"))
+
+    hit = f"list_has_any({S.tokenize(S.normalize('w'))}, {_GRAMS})"
+    words = "list_transform(ws, lambda w: CASE WHEN " + hit + " THEN '<mark>' || w || '</mark>' ELSE w END)"
+    first = f"list_position(list_transform(ws, lambda w: {hit}), TRUE)"
+    if excerpt:
+        text = "CASE WHEN loc > 6 THEN '…' ELSE '' END || array_to_string(shown[greatest(1, loc - 5):least(len(ws), loc + 5)], ' ') || CASE WHEN loc + 5 < len(ws) THEN '…' ELSE '' END"
+    else:
+        text = "array_to_string(shown, ' ')"
+    sql = f"""WITH {_DOC}, {O.candidates(PLAIN, LIMIT)}, {O.kept(LIMIT, "doc_id")},
+w AS (SELECT k.doc_id, string_split_regex(trim(text, ' \t\n\r'), '\\s+') AS ws FROM k JOIN src ON src.doc_id = k.doc_id),
+m AS (SELECT doc_id, ws, {words} AS shown, {first} AS loc FROM w)
+SELECT doc_id, CASE WHEN loc > 0 THEN {text} END AS marked FROM m"""
+    return run, sql
+
+
+_add("highlight_full", *_marked(False))
+_add("highlight_excerpt", *_marked(True))
+
+# facets
+
+_GIVEN = {
+    "brand": [{"field": "p_brand", "op": "in", "value": ["Brand#17", "Brand#4", "Brand#9"]}],
+    "type": [{"field": "p_type", "op": "=", "value": "ECONOMY"}],
+    "price": [{"field": "p_retailprice", "op": ">=", "value": 910.0}],
+}
+_GIVEN_SQL = {"brand": "p_brand IN ('Brand#17', 'Brand#4', 'Brand#9')", "type": "p_type = 'ECONOMY'", "price": "p_retailprice >= 910.0"}
+_ALWAYS = [{"field": "p_size", "op": ">", "value": 5}]
+
+
+def _found(s, d, filters):
+    return retrieve.search(_stored(s, d, "products"), PRODUCT, facets.FACET_LIMIT, boosts=BOOSTS, filters=filters)
+
+
+def _kept_sql(without):
+    where = " AND ".join(["p_size > 5", *(v for k, v in _GIVEN_SQL.items() if k != without)])
+    return f"{_PART}, {O.candidates(PRODUCT, facets.FACET_LIMIT)}, {O.kept(facets.FACET_LIMIT, 'p_partkey', where)}"
+
+
+_add("facet_counts", lambda s, d: facets.value_counts(_found(s, d, facets.build_filters(_ALWAYS, _GIVEN)), "p_brand"), f"WITH {_kept_sql('')} SELECT p_brand AS value, count(*) AS n FROM k JOIN src ON p_partkey = k.doc_id GROUP BY p_brand")
+
+
+def _adaptive(s, d):
+    rows = facets.adaptive(lambda f: _found(s, d, f), _GIVEN, _ALWAYS)
+    parts = [facets.value_counts(rows[n], c, False).select(F.lit(n).alias("facet"), "value", "n") for n, c in (("brand", "p_brand"), ("type", "p_type"))]
+    return parts[0].union(parts[1])
+
+
+_SUB = "SELECT '{0}' AS facet, {1} AS value, count(*) AS n FROM (WITH {2} SELECT {1} FROM k JOIN src ON p_partkey = k.doc_id) GROUP BY {1}"
+_add("facet_adaptive", _adaptive, " UNION ALL ".join(_SUB.format(n, c, _kept_sql(n)) for n, c in (("brand", "p_brand"), ("type", "p_type"))))
+_add(
+    "facet_price_range", lambda s, d: facets.value_range(facets.adaptive(lambda f: _found(s, d, f), _GIVEN, _ALWAYS)["price"], "p_retailprice"),
+    f"WITH {_kept_sql('price')} SELECT coalesce(round(min(p_retailprice), 2), 0) AS min, coalesce(round(max(p_retailprice), 2), 0) AS max FROM k JOIN src ON p_partkey = k.doc_id",
+)
+_add(
+    "facet_membership_split", lambda s, d: facets.split_counts(_found(s, d, None), "p_size", [1, 2, 3, 4, 5]),
+    f"WITH {_PART}, {O.candidates(PRODUCT, facets.FACET_LIMIT)}, {O.kept(facets.FACET_LIMIT, 'p_partkey')} SELECT count(*) FILTER (p_size IN (1, 2, 3, 4, 5)) AS n_in, count(*) FILTER (p_size NOT IN (1, 2, 3, 4, 5)) AS n_rest FROM k JOIN src ON p_partkey = k.doc_id",
+)
+
+# lifecycle
+
+
+def _engine(s, d) -> SearchEngine:
+    """An engine over the documents with every seventh deleted, and one of these written again."""
+    docs = _table(s, d, "documents").select("doc_id", "text").orderBy("doc_id").select(F.col("doc_id").alias("key"), "text")
+    path = urlparse(shared_dir(s)).path + f"/engine-{uuid.uuid4().hex}"
+    engine = SearchEngine(s).open(path, "key long, text string")
+    ids = engine.insert_bulk(docs, ["key"])
+    engine.delete(ids.where("doc_id % 7 = 3"))
+    engine.update(0, {"key": 0, "text": PLAIN})
+    return engine
+
+
+def _lifecycle(step):
+    return lambda s, d: step(s, _engine(s, d))
+
+
+def _compacted(s, engine):
+    engine.compact()
+    return engine.search(PLAIN, LIMIT).select("key", "score", "hits")
+
+
+_BOTH = f"SELECT doc_id AS key, text, doc_id, (doc_id % 7 = 3 OR doc_id = 0) AS gone FROM documents UNION ALL SELECT 0, '{PLAIN}', (SELECT count(*) FROM documents), FALSE"
+_LIVE = "(" + _BOTH + ") x"
+
+
+def _engine_sql(compacted: bool) -> str:
+    where = "NOT gone" if compacted else "TRUE"
+    gone = "FALSE" if compacted else "doc_id IN (SELECT doc_id FROM src WHERE gone)"
+    cte = O.corpus(_LIVE, "doc_id", ["text"], where=where)
+    return f"WITH {cte}, {O.candidates(PLAIN, LIMIT, deleted=gone)}, {O.kept(LIMIT, 'doc_id')}, {O.global_score()} SELECT key, r.score, r.hits FROM ({O.result()}) r JOIN src ON src.doc_id = r.doc_id"
+
+
+_add("engine_delete_update", _lifecycle(lambda s, e: e.search(PLAIN, LIMIT).select("key", "score", "hits")), _engine_sql(False))
+_add("engine_compact", _lifecycle(_compacted), _engine_sql(True))
+_add("engine_count", _lifecycle(lambda s, e: s.createDataFrame([(e.count(),)], "n long")), f"SELECT count(*) AS n FROM {_LIVE} WHERE NOT gone")
+_add("engine_fragmentation", _lifecycle(lambda s, e: s.createDataFrame([(e.fragmentation_rate(),)], "percent long")), f"SELECT round(100.0 * count(*) FILTER (gone) / count(*))::BIGINT AS percent FROM {_LIVE}")
+
+# nested and schemaless documents, and many queries
+
+_CONV = "(SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) x"
+_CONV_CTE = O.corpus(_CONV, "conv_id", ["text"])
+_search("search_nested_fields", "conversations", COMMON, "conv_id", _CONV_CTE, limit=30)
+_EVENT_CTE = O.corpus("events", "event_id", ["event_type"])
+_search("search_json_docs", "events", "purchas", "event_id", _EVENT_CTE, limit=50)
+
+
+def _json_filter(s, d):
+    docs = _stored(s, d, "events").documents
+    return docs.where(dynamic.condition({"and": [{"field": "event_type", "op": "in", "value": ["error", "click"]}]})).select("doc_id")
+
+
+_add("filter_json_docs", _json_filter, "SELECT event_id AS doc_id FROM events WHERE event_type IN ('error', 'click')")
+
+
+def _many(s, d):
+    queries = _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieve.search_many(_stored(s, d, "documents"), queries, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", F.col("hits").cast("long").alias("hits"))
+
+
+_add(
+    "search_many", _many,
+    f"""WITH {_DOC}, bn AS (SELECT item_id, {S.normalize('text')} AS nq FROM benchmark),
+q AS (SELECT item_id AS query_id, trigram, min(pos) AS pos FROM (SELECT item_id, unnest({S.trigrams('nq')}) AS trigram, generate_subscripts({S.trigrams('nq')}, 1) AS pos FROM bn) GROUP BY ALL),
+e AS (SELECT query_id, trigram, df, row_number() OVER (PARTITION BY query_id ORDER BY df, pos) AS trank, count(*) OVER (PARTITION BY query_id) AS k FROM q JOIN df USING (trigram)),
+pc AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY trigram ORDER BY doc_id DESC) <= 5000),
+ha AS (SELECT query_id, doc_id, count(*) AS hits, min(trank) AS min_trank, max(k) AS k FROM pc JOIN e USING (trigram) GROUP BY query_id, doc_id),
+h AS (SELECT * FROM ha QUALIFY sum(CASE WHEN hits = k THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) < 5 OR hits = k),
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, min_trank, doc_id) <= 5),
+s AS (SELECT k.query_id, k.doc_id, round(least(sum({O._TERM.replace("LEN", "d.dl")}) / max({O._MAX}) * 100, 100), 2) AS score
+      FROM k JOIN d ON d.doc_id = k.doc_id JOIN p ON p.doc_id = k.doc_id JOIN e ON e.trigram = p.trigram AND e.query_id = k.query_id, st GROUP BY k.query_id, k.doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hits DESC, min_trank, doc_id) AS rank, doc_id, score, hits FROM k JOIN s USING (query_id, doc_id)""",
+)
+
+
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """A boosted and filtered search over products."""
+    return retrieve.search(_stored(spark, sf_dir, "products"), PRODUCT, LIMIT, boosts=BOOSTS, filters={"and": [_FILTERS["gt"][0]]})
