@@ -74,9 +74,12 @@ def balance(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = 1e
     return cells.withColumn("rate", F.when(F.col("_log") <= -745, 0.0).otherwise(F.exp("_log"))).drop("_log")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies), a row for each row of docs; reruns agree."""
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size")), "sizes")
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST, mark=None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, source, size, mark, source_size, target, rate, copies), a row for each row of docs; reruns agree.
+
+    mark: a column to carry along.
+    """
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), (F.lit(0) if mark is None else mark).alias("mark")), "sizes")
     totals = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
     goals = stage(targets(totals, most), "targets")
     rates = balance(totals.select("source", F.col("source_size").alias("tokens")), {"source": goals}).select(F.col("source").alias("_source"), "rate")
@@ -90,7 +93,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
     phase = F.pmod(F.lit(_PHASE) + F.col("_bucket") * 0.6180339887498949, F.lit(1.0))
     extra = F.floor(rank * part + phase) - F.floor((rank - 1) * part + phase)
-    return rows.withColumn("copies", (whole + extra).cast("int")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    return rows.withColumn("copies", (whole + extra).cast("int")).select("doc_id", "source", "size", "mark", "source_size", "target", "rate", "copies")
+
+
+def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST) -> DataFrame:
+    """docs with each row repeated by its copies under mix(); rows that are equal in id, source and text share theirs."""
+    copies = mix(docs, doc_id, text, source, most, F.xxhash64(text)).groupBy("doc_id", "source", "mark").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    copies = stage(copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "_copies", "_rows"), "copies")
+    rows = docs.withColumn("_text", F.xxhash64(text))
+    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_mark"))).where("_copies > 0")
+    one = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_id", "_source", "_mark"]))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op9_entropy_balancing(spark, sf_dir):
