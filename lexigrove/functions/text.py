@@ -96,13 +96,13 @@ def ordinal(trigram: Column) -> Column:
     return F.when(trigram.rlike("^[a-z0-9#]{3}$"), value)
 
 
-@F.pandas_udf("string")
-def _strict(text):
-    import pandas as pd
+def normalize_strict(text: Column) -> Column:
+    """normalize() with composition (NFC) in place of dropping marks; needs Python workers."""
 
-    return pd.Series([None if x is None else A.normalize(x, True) for x in text])
+    @F.pandas_udf("string")
+    def strict(text):
+        import pandas as pd
 
+        return pd.Series([None if x is None else A.normalize(x, True) for x in text])
 
-def normalize_strict(text: Column) -> Column:
-    """normalize() with composition (NFC) in place of dropping marks; needs Python workers."""
-    return _strict(text)
+    return strict(text)
