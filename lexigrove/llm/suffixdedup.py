@@ -29,7 +29,9 @@ from . import kernel as K
 from .common import drop_path, likely, stage, table, without, work_path
 
 SPAN, GRAM = 200, 24
-PIECE = 4 << 20  #: window starts handled at once
+PIECE = 1 << 21  #: window starts handled at once
+GROUP = 4096  #: distinct runs of one key up to which one task compares them; beyond it windows are shuffled
+PARTS = "array<struct<a:int,z:int>>"
 _LETTERS = 24
 
 
@@ -159,41 +161,98 @@ def marks(docs: DataFrame, batches: int = 4, span: int = SPAN, gram: int = GRAM)
     # passage ends: one place for each distinct run of a key with several
     ends = hits.where("NOT same").groupBy("key", "run").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "lo", "n")).alias("x"))
     ends = stage(ends.select("key", "run", "times", "x.*"), "ends")
+    hot = stage(ends.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > GROUP).select("key"), "hot")
     places = ends.groupBy("d", "t").agg(F.collect_list(F.struct("key", "run", "lo", "n")).alias("runs"))  # as many as the text has
     texts = docs.where(likely(ends, "d", "t")).select("d", "t", "text").dropDuplicates(["d", "t"])
+    cuts = stage(texts.join(places, ["d", "t"]).select("text", "runs").mapInArrow(_cut(span), "key long, run long, n int, part binary"), "cuts")
+    few = cuts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(span), f"key long, run long, parts {PARTS}")
+    one = cuts.join(hot, "key", "left_semi").mapInArrow(_windows(span), "h long, key long, run long, i int")
+    twice = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    many = one.join(twice, "h").groupBy("key", "run").agg(F.collect_set(F.struct(F.col("i").alias("a"), F.col("i").alias("z"))).alias("parts"))
+    ends = ends.select("key", "run", "times").join(few.union(many), ["key", "run"], "left")
+    ends = ends.select("key", "run", F.when(F.col("times") > 1, F.lit(None)).otherwise(F.coalesce("parts", F.array().cast(PARTS))).alias("parts"))
+    whole = hits.where("same").select("d", "t", "lo", "n", F.lit(None).cast(PARTS).alias("parts"))
+    partly = hits.where("NOT same").join(ends, ["key", "run"]).select("d", "t", "lo", "n", "parts").where("parts IS NULL OR size(parts) > 0")
+    return stage(whole.union(partly).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "n", "parts")).alias("marks")), "marks")
 
-    def windows(found):
-        letters, pw = K.tables(K.WORD)[2], K.Powers()
-        for b in found:
-            text = b.column(0).cast(pa.large_binary())
+
+def _cut(span: int):
+    """The text of each run in (text, runs), so that it can be compared with others of its key."""
+
+    def f(batches):
+        for b in batches:
+            texts = b.column(0).cast(pa.large_binary())
+            out = [[] for _ in range(4)]
             for i, runs in enumerate(b.column(1).to_pylist()):
-                data = np.frombuffer(text[i].as_buffer(), np.uint8)
+                data = texts[i].as_buffer()
                 for x in runs:
-                    part = data[x["lo"] : x["lo"] + x["n"] + span]
-                    total, down = _prefix(part, letters, pw)
-                    s = np.arange(x["n"] + 1)
-                    h = _hash(total, down, s, s + span)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), pa.array(np.full(len(s), x["key"])), pa.array(np.full(len(s), x["run"])), pa.array(s.astype(np.int32))], ["h", "key", "run", "i"])
-
-    def joined(found):  # larger batches than a run's
-        held, rows = [], 0
-        for b in windows(found):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 100_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    single = stage(texts.join(places, ["d", "t"]).select("text", "runs").mapInArrow(joined, "h long, key long, run long, i int"), "windows")
-    twice = single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    parts = single.join(twice, "h").groupBy("key", "run").agg(F.collect_set("i").alias("part"))  # as many as a run has windows
-    ends = ends.select("key", "run", "times").join(parts, ["key", "run"], "left")
-    ends = ends.select("key", "run", F.when(F.col("times") > 1, F.lit(None)).otherwise(F.coalesce("part", F.array().cast("array<int>"))).alias("part"))
-    whole = hits.where("same").select("d", "t", "lo", "n", F.lit(None).cast("array<int>").alias("part"))
-    partly = hits.where("NOT same").join(ends, ["key", "run"]).select("d", "t", "lo", "n", "part").where("part IS NULL OR size(part) > 0")
-    return stage(whole.union(partly).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "n", "part")).alias("marks")), "marks")
+                    for o, v in zip(out, (x["key"], x["run"], x["n"], data.slice(x["lo"], x["n"] + span).to_pybytes())):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "run", "n", "part"])
+
+    return f
+
+
+def _hashes(t, letters, pw, span: int):
+    """(row, window, hash) of all windows of the runs in t (n, part)."""
+    many = t.column("n").to_numpy().astype(np.int64) + 1
+    parts = t.column("part").combine_chunks() if isinstance(t.column("part"), pa.ChunkedArray) else t.column("part")
+    offs = np.frombuffer(parts.buffers()[1], dtype=np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    data = np.frombuffer(parts.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]]
+    total, down = _prefix(data, letters, pw)
+    row = np.repeat(np.arange(len(many)), many)
+    window = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = (offs[:-1] - offs[0])[row] + window
+    return row, window, _hash(total, down, at, at + span)
+
+
+def _windows(span: int):
+    def f(batches):
+        letters, pw = K.tables(K.WORD)[2], K.Powers()
+        for b in batches:
+            for a in range(0, b.num_rows, 2000):
+                t = b.slice(a, 2000)
+                row, window, h = _hashes(t, letters, pw, span)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), t.column("key").take(rows), t.column("run").take(rows), pa.array(window.astype(np.int32))], ["h", "key", "run", "i"])
+
+    return f
+
+
+def _compare(span: int):
+    """The repeated windows of runs (key, run, n, part), which come sorted by key, as parts a to z of the windows.
+
+    Equal windows have equal keys, so whatever holds all runs of its keys can be compared at once.
+    """
+
+    def found(t, letters, pw):
+        row, window, h = _hashes(t, letters, pw, span)
+        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        again = times[inverse] > 1
+        first = again.copy()
+        first[1:] &= ~(again[:-1] & (row[1:] == row[:-1]))
+        last = again.copy()
+        last[:-1] &= ~(again[1:] & (row[1:] == row[:-1]))
+        a, z = np.flatnonzero(first), np.flatnonzero(last)
+        ends = np.searchsorted(row[a], np.arange(len(t) + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(window[a].astype(np.int32)), pa.array(window[z].astype(np.int32))], ["a", "z"])
+        return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("run").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], ["key", "run", "parts"])
+
+    def f(batches):
+        letters, pw = K.tables(K.WORD)[2], K.Powers()
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            t = t.combine_chunks()
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
+            if cut:
+                yield found(t.slice(0, cut).combine_chunks(), letters, pw)
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield found(rest.combine_chunks(), letters, pw)
+
+    return f
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -227,13 +286,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if ms.is_valid:
                     edge = np.zeros(len(data) + 1, dtype=np.int32)
                     for m in ms.as_py():
-                        if m["part"] is None:
-                            edge[m["lo"]] += 1
-                            edge[m["lo"] + m["n"] + span] -= 1
-                        else:
-                            for p in m["part"]:
-                                edge[m["lo"] + p] += 1
-                                edge[m["lo"] + p + span] -= 1
+                        for p in [{"a": 0, "z": m["n"]}] if m["parts"] is None else m["parts"]:
+                            edge[m["lo"] + p["a"]] += 1
+                            edge[m["lo"] + p["z"] + span] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
                     at = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                     spans = [{"start": int(x), "end": int(y)} for x, y in zip(at[::2], at[1::2])]
