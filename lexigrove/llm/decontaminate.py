@@ -84,14 +84,13 @@ def _spans(mask):
 
 def _small(docs: DataFrame, text: str, pdf, span: int, gram: int) -> DataFrame:
     """The join with a benchmark of checked size, whose hashes every executor holds."""
-    pdf = pdf.assign(item=pdf["item_id"].astype("object").map(lambda x: None if x is None else str(x)))
-    pdf = pdf.dropna(subset=["item"]).drop_duplicates(["run", "n", "item"])
+    pdf = pdf.drop_duplicates(["run", "n", "item_id"])
     by = {}
     for n, part in pdf.groupby("n"):
         run = part["run"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(run, kind="stable")
         values, first = np.unique(run[order], return_index=True)
-        by[int(n)] = (values, np.append(first, len(order)), part["item"].to_numpy()[order].tolist())
+        by[int(n)] = (values, np.append(first, len(order)), part["item_id"].to_numpy()[order].tolist())
     prints = np.array(sorted({x for p in pdf["prints"] for x in p}), dtype=np.int64).view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast((by, prints))
     schema = _result(docs.schema)
@@ -165,7 +164,7 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(sums[d]), pa.array(K.signed(fp)), pa.array(K.signed(run)), pa.array((s - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["_row", "_sum", "fp", "run", "at", "n"])
 
     prints = keyed.select("_row", "_sum", text).mapInArrow(f, "_row long, _sum long, fp long, run long, at int, n int")
-    tests = tests.select(F.col("item_id").cast("string").alias("item"), "n", "run", F.when(F.col("n") == span, F.col("prints")[0]).otherwise(F.col("run")).alias("fp")).where("item is not null").distinct()
+    tests = tests.select(F.col("item_id").alias("item"), "n", "run", F.when(F.col("n") == span, F.col("prints")[0]).otherwise(F.col("run")).alias("fp")).distinct()
     found = prints.join(tests, ["fp", "run", "n"]).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("_at"))
     columns = docs.columns
     joined = keyed.join(found, ["_row", "_sum"], "left").select(*docs.columns, "items", "_at")
@@ -199,7 +198,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     to the executors; beyond that both sides' fingerprints are shuffled.  Results are the same.
     """
     docs = without(docs, "n_words", "n_hit", "items", "spans")
-    tests = stage(runs(items, item_id, item_text, span, gram), "runs")
+    tests = stage(runs(items.where(F.col(item_id).isNotNull()), item_id, item_text, span, gram).withColumn("item_id", F.col("item_id").cast("string")), "runs")
     if tests.count() <= broadcast_runs:
         return _small(docs, text, tests.toPandas(), span, gram)
     return _large(docs, text, tests, span, gram)
