@@ -82,7 +82,7 @@ def _runs(data, offs, letters, pw, span: int, gram: int):
 
 def _pieces(column, span: int):
     """(rows, bytes, offsets, skip): chunks of whole texts, and overlapping pieces of texts too long for one."""
-    for lo, hi, data, offs in K.chunks(column):
+    for lo, hi, data, offs in K.chunks(column, min(K.CHUNK, PIECE)):
         if len(data) <= PIECE + span:
             yield lo, hi, data, offs, 0
             continue
