@@ -36,9 +36,24 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexigrove-{name}-{uuid.uuid4().hex}"
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows go to Python workers a few at a time where the session leaves that at its default.
+
+    Texts may be long and there are several workers to a core, each with a batch of its own; the
+    kernels gain nothing from more than a few MB.
+    """
+    for name, (default, value) in BATCH.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 WORD, SPACE = "word", "space"
 
@@ -51,8 +51,8 @@ def powers(base: int, n: int):
 class Powers:
     """Powers of the base and of its inverse, as far as a chunk needs."""
 
-    def __init__(self, least: int = CHUNK * 2):
-        self.n, self.least = 0, least
+    def __init__(self, least: int = CHUNK):
+        self.n, self.least = -1, least
 
     def upto(self, n: int):
         if n > self.n:
@@ -86,7 +86,7 @@ def chunks(column: pa.Array, most: int = CHUNK):
 class Words:
     """Words of a chunk: ``start``, ``end`` (bytes), ``hash``, ``doc`` (row), ``first`` (of each row, and the total)."""
 
-    __slots__ = ("start", "end", "hash", "doc", "first")
+    __slots__ = ("start", "end", "hash", "doc", "first", "_sums")
 
     def __init__(self, data, offs, tabs, pw):
         low, mask, letters = tabs
@@ -106,11 +106,18 @@ class Words:
         up, down = pw.upto(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(letters[text] * up[:n], out=total[1:])
+        self._sums = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, offs, "left")
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
 
 
+    def prefix(self, n: int):
+        """Hashes of the words' first n bytes."""
+        total, down = self._sums
+        return mix((total[np.minimum(self.end, self.start + n)] - total[self.start]) * down[self.start])
+
+
 def word_hash(word: str, kind: str = WORD) -> int:
     """The hash that Words gives this word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)

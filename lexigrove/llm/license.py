@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import WORD_RE, sql_fold, table, without
+from .common import WORD_RE, small_batches, sql_fold, table, without
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -152,6 +152,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
     matches: the templates' runs (label, start, end), in words.  score: 1 for a text that a template
     accepts, 0.5 for one that only names a license by a phrase, else 0.
     """
+    small_batches(docs.sparkSession)
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     docs = without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:int,end:int>>").fields])
