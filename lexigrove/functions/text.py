@@ -4,11 +4,14 @@ Everything here is built from JVM expressions, so that it stays inside Catalyst.
 same functions for single Python strings, and sql.py their DuckDB text.
 """
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import analyze as A
 
+cloudpickle.register_pickle_by_value(A)  # for normalize_strict(): workers need no copy of this package
+
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"""<[^\s](?:[^'">]++|"[^"]*+"|'[^']*+')*+(?:>|$)"""
 COMBINING = r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]"

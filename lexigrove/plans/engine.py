@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import retrieve
@@ -54,6 +55,12 @@ class SearchEngine:
             doc_id = self.spark.createDataFrame([(i,) for i in (doc_id if isinstance(doc_id, list) else [doc_id])], "doc_id long")
         self.store.delete(doc_id)
 
+    def get(self, doc_id: int) -> DataFrame:
+        """The document of this id, if there is one that isn't deleted."""
+        index = self.store.index()
+        rows = index.documents.where(F.col("doc_id") == doc_id)
+        return rows if index.tombstones is None else rows.join(index.tombstones, "doc_id", "left_anti")
+
     def search(self, query: str, limit: int = 20, max_candidates: int = retrieve.MAX_CANDIDATES, boosts: dict[str, float] | None = None, filters: dict | None = None, highlight: bool = False, highlight_options: dict | None = None) -> DataFrame:
         return retrieve.search(self.store.index(), query, limit, max_candidates, boosts, filters, highlight, highlight_options)
 

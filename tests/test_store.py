@@ -33,6 +33,7 @@ def test_lifecycle(engine):
     engine.delete([0, 0])
     assert engine.count() == 3 and engine.fragmentation_rate() == 25
     assert "red ring" not in names(engine.search("red ring"))
+    assert names(engine.get(2)) == ["green bolt"] and names(engine.get(0)) == names(engine.get(77)) == []
     new = engine.update(1, {"name": "violet ring"})
     assert new == 4 and engine.count() == 3
     assert names(engine.search("violet", limit=1)) == ["violet ring"] and "blue ring" not in names(engine.search("blue"))
