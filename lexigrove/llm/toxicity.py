@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence's score is a logistic function of its words (hashed);
-the document's is a leaky noisy-or of its sentences: 1 - (1 - leak) * prod(1 - score).  Only documents
+A document is a bag of sentences.  A sentence's score is a logistic function of its words and of their
+beginnings (hashed), as other languages inflect what one word says in English; the document's is a leaky noisy-or of its sentences: 1 - (1 - leak) * prod(1 - score).  Only documents
 have labels; the likelihood of these trains the words' weights, and the sentences' scores then tell
 where a document offends.
 
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import table, without
+from .common import small_batches, table, without
 
 FEATURE_BITS = 20
-TRAIN_DOCS = 12_000  #: labelled documents that the weights are fitted on, about, chosen by hash
+PREFIXES = (4, 5, 6)  #: bytes of the beginnings
+TRAIN_DOCS = 8_000  #: labelled documents that the weights are fitted on, about, chosen by hash
 THRESHOLD = 0.3
 
 
@@ -34,29 +35,42 @@ def _sentences(w, data, offs):
 
 
 def _bags(batches, at: int):
-    """(batch, row range, Words, feature of each word, sentence of each word, first words) of each chunk."""
+    """(batch, row range, Words, features of each word (a row for each kind), sentence of each word, first words) of each chunk."""
     tabs, pw = K.tables(K.WORD), K.Powers()
     for batch in batches:
         for lo, hi, data, offs in K.chunks(batch.column(at)):
             w = K.Words(data, offs, tabs, pw)
             sentence, first = _sentences(w, data, offs)
-            yield batch, lo, hi, w, (w.hash >> K.U(64 - FEATURE_BITS)).astype(np.int64), sentence, first
-
-
-def fit(labels, docs, sentences, features, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3, least: int = 4):
-    """Weights by feature, bias and leak.  labels: of documents; docs: of sentences; features, sentences: of words."""
-    n_docs = len(labels)
-    pair = np.unique(np.stack([sentences, features], 1), axis=0)  # a word counts once in a sentence
-    s, f = pair[:, 0], pair[:, 1]
-    seen = np.unique(np.stack([docs[s], f], 1), axis=0)[:, 1]
-    df = np.bincount(seen, minlength=1 << FEATURE_BITS)
-    keep = df[f] >= least
-    s, f = s[keep], f[keep]
+            kinds = [w.hash, *(K.mix(w.prefix(n) + K.U(n)) for n in PREFIXES)]
+            yield batch, lo, hi, w, np.stack([(h >> K.U(64 - FEATURE_BITS)).astype(np.int64) for h in kinds]), sentence, first
+
+
+def _distinct(x):
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def fit(labels, docs, sentences, kinds, rounds: int = 120, rate: float = 0.3, decay: float = 0.02, least: int = 4, sure: float = 4.0):
+    """Weights by feature, bias and leak.  labels: of documents; docs: of sentences; sentences: of words; kinds: features of words.
+
+    Only features that stand in at least ``least`` documents labelled 1, and in more of these than of
+    others by ``sure`` standard deviations, get a weight; the bias speaks for all that is harmless.
+    """
+    n_docs, n_s, y = len(labels), len(docs), labels.astype(bool)
+    low, base = (1 << FEATURE_BITS) - 1, labels.mean()
+    s, f = [], []
+    for kind in kinds:
+        pair = _distinct(sentences.astype(np.int64) << FEATURE_BITS | kind)  # a word counts once in a sentence
+        seen = _distinct(docs[pair >> FEATURE_BITS].astype(np.int64) << FEATURE_BITS | pair & low)
+        all_of, ones = np.bincount(seen & low, minlength=low + 1), np.bincount(seen[y[seen >> FEATURE_BITS]] & low, minlength=low + 1)
+        good = (ones >= least) & (ones - base * all_of > sure * np.sqrt(base * (1 - base) * all_of))
+        pair = pair[good[pair & low]]
+        s.append(pair >> FEATURE_BITS)
+        f.append(pair & low)
+        del pair, seen
+    s, f = np.concatenate(s), np.concatenate(f)
     names, f = np.unique(f, return_inverse=True)
-    y = labels.astype(bool)
-    n_s = len(docs)
-    w, b, leak = np.zeros(len(names)), -6.0, 0.03
-    logit = np.log(leak / (1 - leak))
+    w, b, logit = np.zeros(len(names)), -6.0, -3.5
     grads = [np.zeros(len(names)) + 1e-8, 1e-8, 1e-8]  # Adagrad
     for _ in range(rounds):
         z = np.clip(b + np.bincount(s, w[f], n_s), -30, 30)
@@ -66,14 +80,12 @@ def fit(labels, docs, sentences, features, rounds: int = 150, rate: float = 0.3,
         none = (1 - leak) * np.exp(-a)  # that no sentence and no leak speaks
         g = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)  # of the likelihood, by a
         gs = g[docs] * p
-        gw = np.bincount(f, gs[s], len(names)) - decay * n_docs / 100 * np.sign(w) * (w != 0) - 1e-2 * w
-        for k, (x, step) in enumerate(((gw, None), (gs.sum() - 1e-2 * n_docs * 0, None), ((g * leak).sum(), None))):
-            grads[k] = grads[k] + x * x
+        gw, gb, gl = np.bincount(f, gs[s], len(names)) - decay * w, gs.sum(), (g * leak).sum()
+        grads = [grads[0] + gw * gw, grads[1] + gb * gb, grads[2] + gl * gl]
         w = w + rate * gw / np.sqrt(grads[0])
-        b = min(b + rate * gs.sum() / np.sqrt(grads[1]), -3.0)
-        logit = logit + rate * (g * leak).sum() / np.sqrt(grads[2])
-    leak = 1 / (1 + np.exp(-logit))
-    return dict(zip(names.tolist(), w.tolist())), float(b), float(leak)
+        b = min(b + rate * gb / np.sqrt(grads[1]), -3.0)
+        logit = logit + rate * gl / np.sqrt(grads[2])
+    return dict(zip(names.tolist(), w.tolist())), float(b), float(1 / (1 + np.exp(-logit)))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS) -> dict:
@@ -83,6 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     documents are read again (one text of a repeated id; the largest of several labels); one task
     fits the weights, and at most 2**FEATURE_BITS of them come back.
     """
+    small_batches(docs.sparkSession)
     few = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("_id"), "_id").limit(most)  # a proven bound: this side is sent to every executor
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(few), "_id")
@@ -91,23 +104,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def bags(batches):
         for batch, lo, hi, w, feature, sentence, first in _bags(batches, 0):
             many = np.diff(w.first)
-            ends = np.append(first, len(feature))
+            ends = np.append(first, len(w.hash))
             y = batch.column(1).to_numpy(zero_copy_only=False)[lo:hi]
             a, z = np.searchsorted(first, w.first[:-1]), np.searchsorted(first, w.first[1:])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(y.astype(np.int32)), pa.array([feature[w.first[i] : w.first[i + 1]].astype(np.int32).tobytes() for i in range(len(many))], pa.binary()), pa.array([np.diff(ends[a[i] : z[i] + 1]).astype(np.int32).tobytes() if many[i] else b"" for i in range(len(many))], pa.binary())],
+                [pa.array(y.astype(np.int32)), pa.array([feature[:, w.first[i] : w.first[i + 1]].astype(np.int32).tobytes() for i in range(len(many))], pa.binary()), pa.array([np.diff(ends[a[i] : z[i] + 1]).astype(np.int32).tobytes() if many[i] else b"" for i in range(len(many))], pa.binary())],
                 ["label", "features", "lengths"],
             )
 
     def one(batches):
-        rows = [(y, np.frombuffer(f, np.int32), np.frombuffer(n, np.int32)) for b in batches for y, f, n in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        rows = [r for r in sorted(rows, key=lambda r: (r[0], r[1].tobytes())) if len(r[1])]
+        rows = [(y, np.frombuffer(f, np.int32).reshape(1 + len(PREFIXES), -1), np.frombuffer(n, np.int32)) for b in batches for y, f, n in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        rows = [r for r in sorted(rows, key=lambda r: (r[0], r[1].tobytes())) if len(r[2])]
         if not rows or len({r[0] for r in rows}) < 2:
             yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([-6.0, float(rows[0][0]) if rows else 0.0])], ["feature", "weight"])
             return
         lengths = np.concatenate([r[2] for r in rows])
         docs = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-        w, b, leak = fit(np.array([r[0] for r in rows]), docs, np.repeat(np.arange(len(lengths)), lengths), np.concatenate([r[1] for r in rows]))
+        w, b, leak = fit(np.array([r[0] for r in rows]), docs, np.repeat(np.arange(len(lengths)), lengths), (np.concatenate([r[1][k] for r in rows]) for k in range(1 + len(PREFIXES))))
         w = {k: v for k, v in w.items() if abs(v) > 1e-3} | {-1: b, -2: leak}
         yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.int64()), pa.array(list(w.values()), pa.float64())], ["feature", "weight"])
 
@@ -117,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: dict, text: str = "text", spans: bool = False) -> DataFrame:
     """docs with score and, with ``spans``, offending: the sentences (first word, end, score) that score at least 0.5."""
+    small_batches(docs.sparkSession)
     docs = without(docs, "score", "offending")
     weights = np.zeros(1 << FEATURE_BITS)
     for k, v in model.items():
@@ -132,18 +146,19 @@ def score(docs: DataFrame, model: dict, text: str = "text", spans: bool = False)
     def f(batches):
         weights, bias, leak = sent.value
         for batch, lo, hi, w, feature, sentence, first in _bags(batches, at):
-            value = weights[feature]
-            use = np.flatnonzero(value)
-            if len(use):  # a word counts once in a sentence
-                _, once = np.unique(np.stack([sentence[use], feature[use]], 1), axis=0, return_index=True)
-                use = use[once]
-            z = np.clip(bias + np.bincount(sentence[use], value[use], len(first)), -30, 30)
+            z = np.full(len(first), bias)
+            for kind in feature:
+                value = weights[kind]
+                use = np.flatnonzero(value)
+                _, once = np.unique(sentence[use] << FEATURE_BITS | kind[use], return_index=True)  # a word counts once in a sentence
+                z += np.bincount(sentence[use[once]], value[use[once]], len(first))
+            z = np.clip(z, -30, 30)
             doc = w.doc[first]
             a = np.bincount(doc, np.log1p(np.exp(z)), hi - lo)
             out = [*batch.slice(lo, hi - lo).columns, pa.array(1 - (1 - leak) * np.exp(-a))]
             if spans:
                 marks = [[] for _ in range(hi - lo)]
-                ends = np.append(first[1:], len(feature))
+                ends = np.append(first[1:], len(w.hash))
                 for i in np.flatnonzero(z >= 0).tolist():
                     d = int(doc[i])
                     marks[d].append({"start": int(first[i] - w.first[d]), "end": int(ends[i] - w.first[d]), "score": float(1 / (1 + np.exp(-z[i])))})
