@@ -1,8 +1,5 @@
 """Tables, shared folders and small DataFrame helpers of the training-data operators."""
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,28 +7,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workdir import shared_dir
+
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_own: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
-        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
-        _own[spark.sparkContext.applicationId] = base
-    return base.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexigrove-{name}-{uuid.uuid4().hex}"
 

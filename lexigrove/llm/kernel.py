@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 WORD, SPACE = "word", "space"
 
