@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.workdir import spread
 
 
 def text_of(col: Column, kind: T.DataType) -> Column | None:
@@ -70,12 +71,16 @@ def stats_of(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_trigrams"), F.lit(0)).cast("long").alias("trigram_sum"))
 
 
-def build(df: DataFrame, id_col: str = "doc_id", text_cols: list[str] | None = None) -> Index:
-    """An index over any DataFrame, as lazy plans.  text_cols: the fields to index, by default all with strings."""
+def build(df: DataFrame, id_col: str = "doc_id", text_cols: list[str] | None = None, keep=None) -> Index:
+    """An index over any DataFrame, as lazy plans.  text_cols: the fields to index, by default all with strings.
+
+    keep: what writes down and rereads the analysed documents, so that postings don't analyse them again.
+    """
     fields = [c for c in df.columns if c != id_col]
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), *fields)
+    docs = spread(df).select(F.col(id_col).cast("long").alias("doc_id"), *fields)
     trigrams = document_trigrams(T.StructType([f for f in docs.schema.fields if f.name != "doc_id"]), text_cols)
     with_grams = docs.withColumn("_trigrams", trigrams)
+    with_grams = keep(with_grams) if keep else with_grams
     counted = with_grams.withColumn("n_trigrams", F.size("_trigrams")).drop("_trigrams")
     postings = postings_of(with_grams, F.col("_trigrams"))
     return Index(counted, postings, dictionary_of(postings), stats_of(counted), None, tuple(text_cols or fields))

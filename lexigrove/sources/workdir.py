@@ -1,10 +1,10 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the spread of small inputs over cores."""
 
 import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -17,3 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: one file of one row group would keep a single core busy.
+
+    Inputs with partitions enough, as all large ones have, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,7 +17,7 @@ from .operators.highlight import highlight
 from .operators.index import Index, build
 from .plans import oracle as O
 from .plans.engine import SearchEngine
-from .sources.workdir import shared_dir
+from .sources.workdir import shared_dir, spread
 
 PLAIN, TYPO, COMMON = "worthless disgusting trash", "wortless disgustin trsh", "the thand of"
 PRODUCT = "small wigdet Brand#17"
@@ -26,7 +26,7 @@ LIMIT = 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _written: dict[tuple[str, str, str], Index] = {}
@@ -36,8 +36,13 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
     """The index of a table, written down once for each application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        index = _BUILD[name](spark, sf_dir)
         base = f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+
+        def keep(df):
+            df.write.parquet(f"{base}/analysed")
+            return spark.read.schema(df.schema).parquet(f"{base}/analysed")
+
+        index = _BUILD[name](spark, sf_dir, keep)
         parts = {}
         docs = index.documents
         index.postings.repartitionByRange("trigram").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{base}/postings")
@@ -51,21 +56,21 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
     return _written[key]
 
 
-def _documents(spark, sf_dir):
-    return build(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id", ["text"])
+def _documents(spark, sf_dir, keep):
+    return build(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id", ["text"], keep)
 
 
-def _products(spark, sf_dir):
+def _products(spark, sf_dir, keep):
     part = _table(spark, sf_dir, "part")
-    return build(part.withColumn("tags", F.split("p_name", " ")).withColumnRenamed("p_partkey", "doc_id"))
+    return build(part.withColumn("tags", F.split("p_name", " ")).withColumnRenamed("p_partkey", "doc_id"), keep=keep)
 
 
-def _conversations(spark, sf_dir):
+def _conversations(spark, sf_dir, keep):
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return build(turns, "conv_id")
+    return build(turns, "conv_id", keep=keep)
 
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, keep):
     return dynamic.build(_table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", F.parse_json("props").alias("props"))).alias("json")), "event_id", "json")
 
 
