@@ -3,11 +3,10 @@
 import uuid
 
 import numpy as np
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workdir import shared_dir
+from ..sources.workdir import shared_dir, spread
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_RE = r"[^\x20\x09-\x0D]+"
@@ -15,7 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def work_path(spark: SparkSession, name: str) -> str:

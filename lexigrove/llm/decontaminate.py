@@ -70,7 +70,7 @@ def runs(items: DataFrame, item_id: str = "item_id", text: str = "text", span: i
                     out[3].append([int(K.signed(g[s : s + span - gram + 1]).view(np.uint64).min().astype(np.int64))] if n == span else [])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(item_id).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["item_id", "n", "run", "prints"])
 
-    return items.select(item_id, text).mapInArrow(f, schema)
+    return items.select(item_id, text).mapInArrow(K.tidy(f), schema)
 
 
 def _result(schema: T.StructType) -> T.StructType:
@@ -133,7 +133,7 @@ def _small(docs: DataFrame, text: str, pdf, span: int, gram: int) -> DataFrame:
                 [*batch.schema.names, "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.mapInArrow(f, schema)
+    return docs.mapInArrow(K.tidy(f), schema)
 
 
 def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
                 d = w.doc[s]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(sums[d]), pa.array(K.signed(fp)), pa.array(K.signed(run)), pa.array((s - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["_row", "_sum", "fp", "run", "at", "n"])
 
-    prints = keyed.select("_row", "_sum", text).mapInArrow(f, "_row long, _sum long, fp long, run long, at int, n int")
+    prints = keyed.select("_row", "_sum", text).mapInArrow(K.tidy(f), "_row long, _sum long, fp long, run long, at int, n int")
     tests = tests.select(F.col("item_id").alias("item"), "n", "run", F.when(F.col("n") == span, F.col("prints")[0]).otherwise(F.col("run")).alias("fp")).distinct()
     found = prints.join(tests, ["fp", "run", "n"]).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("_at"))
     columns = docs.columns
@@ -188,7 +188,7 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
                 [*columns, "n_words", "n_hit", "items", "spans"],
             )
 
-    return joined.mapInArrow(g, schema)
+    return joined.mapInArrow(K.tidy(g), schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:

@@ -160,3 +160,19 @@ class Lookup:
 
 def signed(h):
     return h.view(np.int64)
+
+
+def tidy(f):
+    """f (over Arrow batches), and then the memory that it freed goes back to the system, as workers stay on."""
+
+    def g(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return g

@@ -213,7 +213,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
                     rows[6].append(r)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(many, pa.int64()), *(pa.array(x, kind) for x, (_, kind) in zip(rows, kinds[1:]))], [*batch.schema.names, *(c for c, _ in kinds)])
 
-    return docs.mapInArrow(f, schema)
+    return docs.mapInArrow(K.tidy(f), schema)
 
 
 def op2_license_templates(spark, sf_dir):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import stage, table
 
 PART_ROWS, QUERY_ROWS = 8192, 2048
@@ -152,7 +153,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embed
                 near, away = np.where(d < away, j, near), np.minimum(d, away)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(away)], ["id", "v", "norm", "pivot", "away"])
 
-    placed = stage(base.mapInArrow(assign, "id long, v array<long>, norm long, pivot int, away double"), "placed")
+    placed = stage(base.mapInArrow(K.tidy(assign), "id long, v array<long>, norm long, pivot int, away double"), "placed")
     sizes = {r["pivot"]: (r["n"], r["radius"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # at most PIVOTS rows
     parts = {p: -(-m // PART_ROWS) for p, (m, _) in sizes.items()}
     salts = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv])
@@ -225,7 +226,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embed
                 at = pa.array(np.flatnonzero(((whole - away**2) / 2 >= floor - 0.25) & (home_of != j)))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), b.column(4).take(at), b.column(5).take(at), pa.array(np.full(len(at), j, dtype=np.int32))], ["id", "v", "norm", "block", "floor", "to"])
 
-    routed = asked.join(floors, "id", "left").select("id", "v", "norm", "pivot", "block", "floor").mapInArrow(route, "id long, v array<long>, norm long, block long, floor double, to int")
+    routed = asked.join(floors, "id", "left").select("id", "v", "norm", "pivot", "block", "floor").mapInArrow(K.tidy(route), "id long, v array<long>, norm long, block long, floor double, to int")
     out = best(home.union(searched(routed)))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

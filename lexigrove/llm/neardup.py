@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(K.signed(s1)), pa.array(K.signed(s2)), lists(packed), lists(keys)], ["id", "n", "s1", "s2", "bits", "bands"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(f, f"id {kind}, n long, s1 long, s2 long, bits array<long>, bands array<long>")
+    return docs.select(doc_id, text).mapInArrow(K.tidy(f), f"id {kind}, n long, s1 long, s2 long, bits array<long>, bands array<long>")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -155,7 +155,7 @@ def _fine(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int) ->
                 packed = np.packbits(bits, axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "sign"])
 
-    return _texts(docs, ids, doc_id, text).mapInArrow(f, f"id {kind}, sign binary").dropDuplicates(["id"])
+    return _texts(docs, ids, doc_id, text).mapInArrow(K.tidy(f), f"id {kind}, sign binary").dropDuplicates(["id"])
 
 
 def _texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _blocks(mixed: DataFrame, signs: DataFrame, least: float) -> DataFrame:
         if rest is not None:
             yield pairs(rest.combine_chunks().to_batches()[0])
 
-    out = rows.mapInArrow(f, f"a {kind}, b {kind}")
+    out = rows.mapInArrow(K.tidy(f), f"a {kind}, b {kind}")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -227,7 +227,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
                 sets = [s.tobytes() for s in _sets(data, offs, tabs, pw, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "words"])
 
-    sets = stage(_texts(docs, ids, doc_id, text).mapInArrow(f, f"id {kind}, words binary").distinct(), "sets")
+    sets = stage(_texts(docs, ids, doc_id, text).mapInArrow(K.tidy(f), f"id {kind}, words binary").distinct(), "sets")
 
     def g(batches):
         for batch in batches:
@@ -245,7 +245,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")  # the side with many partners is joined last; AQE splits it where it is hot
     two = one.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").select("a", "b", "x", "y")
-    return stage(two.mapInArrow(g, f"a {kind}, b {kind}").distinct(), "links")
+    return stage(two.mapInArrow(K.tidy(g), f"a {kind}, b {kind}").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 70, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:

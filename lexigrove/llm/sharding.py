@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernel as K
 from .common import stage, table, without, work_path
 
 CELLS = 1 << 16  #: fine cells of the hash; buckets are runs of these
@@ -91,7 +92,7 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, path: str
 
     docs = docs.withColumn("_bucket", bucket(F.col("_cell").cast("long") * F.lit(1 << 32) + F.col("_salt"))).withColumn("_tie", F.xxhash64(*columns))
     path = path or work_path(spark, "shards")
-    docs.repartitionById(max(1, len(bounds)), F.col("_bucket")).drop("_cell", "_salt").mapInArrow(f, schema).write.partitionBy("shard").parquet(path)
+    docs.repartitionById(max(1, len(bounds)), F.col("_bucket")).drop("_cell", "_salt").mapInArrow(K.tidy(f), schema).write.partitionBy("shard").parquet(path)
     if not total:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)

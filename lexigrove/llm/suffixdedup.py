@@ -106,7 +106,7 @@ def entries(docs: DataFrame, batches: int, span: int = SPAN, gram: int = GRAM) -
                 yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(t[row]), pa.array(batch[row]), pa.array(K.signed(key)), pa.array(K.signed(run)), pa.array((first + skip).astype(np.int64)), pa.array(n.astype(np.int32))], ["d", "t", "batch", "key", "run", "lo", "n"])
 
     rows = docs.select("d", "t", F.pmod(F.xxhash64("t", "d"), F.lit(batches)).cast("int").alias("batch"), "text")
-    return rows.mapInArrow(f, "d long, t long, batch int, key long, run long, lo long, n int")
+    return rows.mapInArrow(K.tidy(f), "d long, t long, batch int, key long, run long, lo long, n int")
 
 
 class Family:
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out[3].append(spans)
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], span_type)], [*columns, "kept", "n_bytes", "n_removed", "spans"])
 
-    return clean.union(touched.mapInArrow(f, schema))
+    return clean.union(touched.mapInArrow(K.tidy(f), schema))
 
 
 def op10_suffix_family(spark, sf_dir):

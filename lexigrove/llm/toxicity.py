@@ -9,6 +9,8 @@ Scores depend on the text alone.  Nulls and texts without words have the leak as
 Columns of the input with the names of those added are replaced; repeated rows score alike.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import small_batches, table, without
+from .common import small_batches, stage, table, without
 
 FEATURE_BITS = 20
 PREFIXES = (4, 5, 6)  #: bytes of the beginnings
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def one(batches):
         rows = [(y, np.frombuffer(f, np.int32).reshape(1 + len(PREFIXES), -1), np.frombuffer(n, np.int32)) for b in batches for y, f, n in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        rows = [r for r in sorted(rows, key=lambda r: (r[0], r[1].tobytes())) if len(r[2])]
+        rows = [r for r in sorted(rows, key=lambda r: (r[0], len(r[2]), zlib.crc32(r[1]))) if len(r[2])]
         if not rows or len({r[0] for r in rows}) < 2:
             yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([-6.0, float(rows[0][0]) if rows else 0.0])], ["feature", "weight"])
             return
@@ -124,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         w = {k: v for k, v in w.items() if abs(v) > 1e-3} | {-1: b, -2: leak}
         yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.int64()), pa.array(list(w.values()), pa.float64())], ["feature", "weight"])
 
-    packed = sample.mapInArrow(bags, "label int, features binary, lengths binary")
-    return {r["feature"]: r["weight"] for r in packed.coalesce(1).mapInArrow(one, "feature long, weight double").collect()} or {-1: -6.0, -2: 0.0}
+    packed = stage(sample.mapInArrow(K.tidy(bags), "label int, features binary, lengths binary"), "bags")
+    return {r["feature"]: r["weight"] for r in packed.coalesce(1).mapInArrow(K.tidy(one), "feature long, weight double").collect()} or {-1: -6.0, -2: 0.0}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", spans: bool = False) -> DataFrame:
@@ -165,7 +167,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", spans: bool = False)
                 out.append(pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(out, [*columns, "score", *["offending"] * spans])
 
-    return docs.mapInArrow(f, schema)
+    return docs.mapInArrow(K.tidy(f), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
