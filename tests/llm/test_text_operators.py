@@ -312,3 +312,10 @@ def test_suffix_family_of_nothing(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], DOC)).count() == 0
     one = suffixdedup.remove_repeats(spark.createDataFrame([(1, LONG), (2, None)], DOC)).orderBy("doc_id").collect()
     assert one[0].n_removed == 0 and bytes(one[0].kept).decode() == LONG and one[1].n_bytes == 0
+
+
+def test_passages_of_one_word(spark):
+    """Runs of one word match in step, though all their k-mers are equal."""
+    docs = [(1, "start " + "spam " * 90 + "end"), (2, "other text " + "spam " * 80), (3, "spam " * 20)]
+    out = [(r.doc_id, r.other_id, r.n_equal) for r in chaining.passages(frame(spark, docs)).collect()]
+    assert out == [(2, 1, 80)]
