@@ -274,6 +274,31 @@ def test_chains_are_best():
         assert score <= max(best.values()) + 1e-9
 
 
+def test_chains_after_a_better_passage():
+    """The end of a better passage out of reach hides none of the matches of the next one."""
+    x, y = [*range(0, 50, 5), *range(200, 250, 5)], [*range(0, 50, 5), *range(150, 200, 5)]
+    assert sorted(chaining.chains(x, y)) == [[*range(10)], [*range(10, 20)]]
+
+
+def test_two_passages_of_two_texts(spark):
+    """Both are found, whatever lies between them in either text and whichever is the longer."""
+    rng = random.Random(21)
+    fresh = (f"w{i}" for i in range(1_000_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    docs, want = [], set()
+    for n, m in ((120, 60), (60, 120), (60, 60)):
+        for one in (10, 61, 65, 100, 300):
+            for two in (10, 61, 80, 100, 300):
+                p, q, k = take(n), take(m), len(docs)
+                x, y = take(20) + p + take(two) + q, take(30) + p + take(one) + q
+                docs += [(k, " ".join(x)), (k + 1, " ".join(y))]
+                want |= {(k + 1, 30 + n // 2), (k + 1, 30 + n + one + m // 2)}
+    rng.shuffle(docs)
+    found = chaining.passages(frame(spark, docs)).collect()
+    lost = {(d, at) for d, at in want if not any(r.doc_id == d and r.other_id == d - 1 and r.start <= at < r.end for r in found)}
+    assert not lost
+
+
 def test_alignment():
     a = np.arange(100, 200, dtype=np.uint64)
     assert chaining.align(a, a, [(0, 100, 0)]) == (0, 100, 0, 100, 100)
