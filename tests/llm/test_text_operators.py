@@ -299,6 +299,23 @@ def test_two_passages_of_two_texts(spark):
     assert not lost
 
 
+def test_passages_with_changed_words(spark):
+    """Shares of the passages of 60 words found, by how many words are changed."""
+    rng = random.Random(22)
+    fresh = (f"w{i}" for i in range(1_000_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    docs, kinds, many = [], [("every", n) for n in (4, 5, 6, 7, 8)] + [("one in", n) for n in (4, 5, 6, 8)], 50
+    for kind, n in kinds:
+        for _ in range(many):
+            p, k = take(60), len(docs)
+            q = [next(fresh) if (i % n == n - 1 if kind == "every" else rng.random() < 1 / n) else w for i, w in enumerate(p)]
+            docs += [(k, " ".join(take(60) + p + take(60))), (k + 1, " ".join(take(30) + q + take(90)))]
+    found = {r.doc_id for r in chaining.passages(frame(spark, docs)).collect() if r.other_id == r.doc_id - 1}
+    share = {kind: sum(2 * (i * many + j) + 1 in found for j in range(many)) / many for i, kind in enumerate(kinds)}
+    print(share)
+    assert all(v == 1 if kind[0] == "every" else v >= 0.9 for kind, v in share.items()), share
+
+
 def test_alignment():
     a = np.arange(100, 200, dtype=np.uint64)
     assert chaining.align(a, a, [(0, 100, 0)]) == (0, 100, 0, 100, 100)
