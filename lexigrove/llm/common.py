@@ -65,19 +65,33 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that df has not, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 FILTER = 1 << 21  #: buckets of the filter of likely()
 
 
-def likely(keys: DataFrame, *columns: str):
-    """A condition that holds for all rows whose ``columns`` are in keys, and for few others as long as keys are few.
+def likely(keys: DataFrame, *columns: str, named: list[str] | None = None):
+    """A condition that holds for all rows whose ``columns`` (there ``named``) are in keys, and for few others as long as keys are few.
 
     One bit for each of FILTER buckets of the columns' hash, whatever the number of keys: what is sent
     to the executors has this fixed size.  It spares rows without a partner the shuffle of a join that
     follows, and decides nothing.
     """
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(FILTER)).cast("int")
+
+    def bucket(names):
+        return F.pmod(F.xxhash64(*names), F.lit(FILTER)).cast("int")
+
     ones = np.zeros(FILTER, dtype=bool)
-    ones[keys.select(bucket.alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
+    ones[keys.select(bucket(columns).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
     sent = keys.sparkSession.sparkContext.broadcast(np.packbits(ones))
 
     @F.pandas_udf("boolean")
@@ -87,4 +101,4 @@ def likely(keys: DataFrame, *columns: str):
         b = b.to_numpy()
         return pd.Series((sent.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
 
-    return has(bucket)
+    return has(bucket(named or columns))

@@ -6,8 +6,9 @@ the benchmark, and each hit is extended to the runs of SPAN words around it, so
 run is found, wherever it lies, and nothing else.
 
 Nulls and texts without words have no hits.  Items shorter than SPAN words are matched as a whole.
-Repeated item ids count once; repeated rows are judged alike; other columns of the input pass through.
-Hashes of words have 64 bits: two runs are taken as equal if their hashes are.
+Repeated item ids count once; repeated rows are judged alike; other columns of the input pass through,
+whatever their names and types.  Runs are found by hashes of 64 bits and taken as equal if a digest of
+their words is, too; where fingerprints are shuffled, hashes of 128 bits decide.
 """
 
 import hashlib
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import WORD_RE, sql_fold, stage, table, without
+from .common import WORD_RE, fresh, sql_fold, stage, table, without
 
 SPAN = 8  #: words of a shared run
 GRAM = 4  #: words of a k-gram; SPAN - GRAM + 1 of them make a window
-BROADCAST_RUNS = 1_000_000  #: benchmark runs up to which their hashes (16 bytes each) are sent to every executor
+BROADCAST_RUNS = 1_000_000  #: benchmark runs up to which their hashes (32 bytes each) are sent to every executor
+BROADCAST_IDS = 32 << 20  #: and the bytes of their items' ids
 
 
 def winnow(h, doc, span: int, gram: int):
@@ -42,33 +44,37 @@ def winnow(h, doc, span: int, gram: int):
     return np.flatnonzero(chosen), g
 
 
-def _each(batches, text: str, tabs, pw):
+def _each(batches, text: str, tabs):
     for batch in batches:
         for lo, hi, data, offs in K.chunks(batch.column(batch.schema.get_field_index(text))):
-            yield batch.slice(lo, hi - lo), K.Words(data, offs, tabs, pw)
+            yield batch.slice(lo, hi - lo), K.Words(data, offs, tabs)
+
+
+def _digest(words: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
 
 
 def runs(items: DataFrame, item_id: str = "item_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The benchmark's runs: (item_id, n words, run hash, fingerprints); a short item is one run without any."""
-    schema = T.StructType([T.StructField("item_id", items.schema[item_id].dataType), *T._parse_datatype_string("n int, run long, prints array<long>").fields])
+    """The benchmark's runs: (item_id, n words, run hash, digest of its words, print: its fingerprint); a short item is one run without any."""
+    schema = T.StructType([T.StructField("item_id", items.schema[item_id].dataType), *T._parse_datatype_string("n int, run long, digest long, print long").fields])
 
     def f(batches):
-        tabs, pw = K.tables(K.WORD), K.Powers()
-        for batch, w in _each(batches, text, tabs, pw):
+        tabs = K.tables(K.WORD)
+        for batch, w in _each(batches, text, tabs):
             ids = batch.column(batch.schema.get_field_index(item_id)).to_pylist()
-            out = [[], [], [], []]
+            out = [[] for _ in range(5)]
             for i, key in enumerate(ids):
-                h = w.hash[w.first[i] : w.first[i + 1]]
+                a = int(w.first[i])
+                h = w.hash[a : w.first[i + 1]]
                 n = min(span, len(h))
                 if not n:
                     continue
                 run, g = K.grams(h, n), K.grams(h, gram)
                 for s in range(len(run)):
-                    out[0].append(key)
-                    out[1].append(n)
-                    out[2].append(int(K.signed(run)[s]))
-                    out[3].append([int(K.signed(g[s : s + span - gram + 1]).view(np.uint64).min().astype(np.int64))] if n == span else [])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(item_id).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["item_id", "n", "run", "prints"])
+                    own = K.signed(g[s : s + span - gram + 1].min(keepdims=True))[0] if n == span else None
+                    for o, v in zip(out, (key, n, int(K.signed(run)[s]), _digest(w.run(a + s, a + s + n)), own)):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (batch.schema.field(item_id).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["item_id", "n", "run", "digest", "print"])
 
     return items.select(item_id, text).mapInArrow(K.tidy(f), schema)
 
@@ -82,24 +88,26 @@ def _spans(mask):
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _small(docs: DataFrame, text: str, pdf, span: int, gram: int) -> DataFrame:
-    """The join with a benchmark of checked size, whose hashes every executor holds."""
-    pdf = pdf.drop_duplicates(["run", "n", "item_id"])
+def _small(docs: DataFrame, text: str, tests, span: int, gram: int) -> DataFrame:
+    """The join with a benchmark of checked size (an Arrow table), whose hashes every executor holds."""
+    names, item = np.unique(tests.column("item").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    n_of, run_of, digest_of = (tests.column(c).to_numpy() for c in ("n", "run", "digest"))
     by = {}
-    for n, part in pdf.groupby("n"):
-        run = part["run"].to_numpy(np.int64).view(np.uint64)
+    for n in np.unique(n_of).tolist():
+        at = np.flatnonzero(n_of == n)
+        run = run_of[at].view(np.uint64)
         order = np.argsort(run, kind="stable")
         values, first = np.unique(run[order], return_index=True)
-        by[int(n)] = (values, np.append(first, len(order)), part["item_id"].to_numpy()[order].tolist())
-    prints = np.array(sorted({x for p in pdf["prints"] for x in p}), dtype=np.int64).view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast((by, prints))
+        by[n] = (values, np.append(first, len(order)), digest_of[at[order]], item[at[order]].astype(np.int32))
+    prints = tests.column("print").drop_null().unique().to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast((by, prints, pa.array(names.tolist(), pa.string())))
     schema = _result(docs.schema)
 
     def f(batches):
-        tabs, pw = K.tables(K.WORD), K.Powers()
-        by, prints = sent.value
+        tabs = K.tables(K.WORD)
+        by, prints, ids = sent.value
         prints, tests = K.Lookup(prints), {n: K.Lookup(v[0]) for n, v in by.items()}
-        for batch, w in _each(batches, text, tabs, pw):
+        for batch, w in _each(batches, text, tabs):
             hit, found = np.zeros(len(w.hash), dtype=bool), {}
             for n, test in tests.items():
                 if len(w.hash) < n:
@@ -119,14 +127,17 @@ def _small(docs: DataFrame, text: str, pdf, span: int, gram: int) -> DataFrame:
                     run, at = K.grams(w.hash, n), np.flatnonzero(K.within(w.doc, n))
                     run = run[at]
                 i, k = test.find(run)
-                _, first, items = by[n]
+                _, first, digests, items = by[n]
                 for p, q in zip(at[i].tolist(), k.tolist()):
-                    hit[p : p + n] = True
-                    found.setdefault(int(w.doc[p]), set()).update(items[first[q] : first[q + 1]])
+                    own = slice(first[q], first[q + 1])
+                    same = items[own][digests[own] == _digest(w.run(p, p + n))]
+                    if len(same):
+                        hit[p : p + n] = True
+                        found.setdefault(int(w.doc[p]), set()).update(same.tolist())
             many = np.diff(w.first)
             total = np.concatenate(([0], np.cumsum(hit)))
             hits = total[w.first[1:]] - total[w.first[:-1]]
-            names = [sorted(found.get(i, ())) for i in range(len(many))]
+            names = [sorted(ids[x].as_py() for x in found.get(i, ())) for i in range(len(many))]
             spans = [_spans(hit[w.first[i] : w.first[i + 1]]) if hits[i] else [] for i in range(len(many))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(many, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
@@ -140,12 +151,12 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
     """The join as a shuffle, for a benchmark of any size: fingerprints meet, and runs around them are compared."""
     width = span - gram + 1
     short = sorted(r["n"] for r in tests.where(F.col("n") < span).select("n").distinct().collect())  # at most span - 1 lengths
-    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_sum": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
+    key, places = fresh(docs, "key", "places")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))  # equal texts are judged alike
 
     def f(batches):
-        tabs, pw = K.tables(K.WORD), K.Powers()
-        for batch, w in _each(batches, text, tabs, pw):
-            rows, sums = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_row", "_sum"))
+        tabs = K.tables(K.WORD)
+        for batch, w in _each(batches, "text", tabs):
             at, g = winnow(w.hash, w.doc, span, gram)
             parts = []
             if len(at):
@@ -161,23 +172,24 @@ def _large(docs: DataFrame, text: str, tests: DataFrame, span: int, gram: int) -
                 parts.append((run[s], run[s], s, np.full(len(s), n)))
             for fp, run, s, n in parts:
                 d = w.doc[s]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(sums[d]), pa.array(K.signed(fp)), pa.array(K.signed(run)), pa.array((s - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["_row", "_sum", "fp", "run", "at", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(K.signed(fp)), pa.array(K.signed(run)), pa.array((s - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "fp", "run", "at", "n"])
 
-    prints = keyed.select("_row", "_sum", text).mapInArrow(K.tidy(f), "_row long, _sum long, fp long, run long, at int, n int")
-    tests = tests.select(F.col("item_id").alias("item"), "n", "run", F.when(F.col("n") == span, F.col("prints")[0]).otherwise(F.col("run")).alias("fp")).distinct()
-    found = prints.join(tests, ["fp", "run", "n"]).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("_at"))
+    prints = keyed.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(K.tidy(f), "key string, fp long, run long, at int, n int")
+    tests = tests.select("item", "n", "run", F.when(F.col("n") == span, F.col("print")).otherwise(F.col("run")).alias("fp"))
+    tests = tests.groupBy("fp", "run", "n").agg(F.collect_set("item").alias("own"))  # a run that many items have meets each document once
+    found = prints.join(tests, ["fp", "run", "n"]).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("items"), F.collect_set(F.struct("at", "n")).alias(places))
     columns = docs.columns
-    joined = keyed.join(found, ["_row", "_sum"], "left").select(*docs.columns, "items", "_at")
+    joined = keyed.join(found.withColumnRenamed("key", key), key, "left").select(*docs.columns, "items", places)
     schema = _result(docs.schema)
 
     def g(batches):
-        tabs, pw = K.tables(K.WORD), K.Powers()
-        for batch, w in _each(batches, text, tabs, pw):
+        tabs = K.tables(K.WORD)
+        for batch, w in _each(batches, text, tabs):
             many = np.diff(w.first)
             hits, spans = [], []
-            for n, places in zip(many.tolist(), batch.column(batch.schema.get_field_index("_at")).to_pylist()):
+            for n, found_at in zip(many.tolist(), batch.column(batch.schema.get_field_index(places)).to_pylist()):
                 mask = np.zeros(n, dtype=bool)
-                for x in places or ():
+                for x in found_at or ():
                     mask[x["at"] : x["at"] + x["n"]] = True
                 hits.append(int(mask.sum()))
                 spans.append(_spans(mask))
@@ -198,9 +210,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     to the executors; beyond that both sides' fingerprints are shuffled.  Results are the same.
     """
     docs = without(docs, "n_words", "n_hit", "items", "spans")
-    tests = stage(runs(items.where(F.col(item_id).isNotNull()), item_id, item_text, span, gram).withColumn("item_id", F.col("item_id").cast("string")), "runs")
-    if tests.count() <= broadcast_runs:
-        return _small(docs, text, tests.toPandas(), span, gram)
+    tests = runs(items.where(F.col(item_id).isNotNull()), item_id, item_text, span, gram)
+    tests = stage(tests.select(F.col("item_id").cast("string").alias("item"), "n", "run", "digest", "print").distinct(), "runs")
+    n, ids = tests.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
+    if n <= broadcast_runs and ids <= BROADCAST_IDS:
+        return _small(docs, text, tests.toArrow(), span, gram)
     return _large(docs, text, tests, span, gram)
 
 

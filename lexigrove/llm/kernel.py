@@ -1,22 +1,25 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Every kernel works on a whole chunk of UTF-8 texts at once: bytes are classified by table, words are
-found from the edges of the class mask, and word hashes come from prefix sums of a polynomial with
-random 64-bit letters, so no Python object is made per word.  Hashes are 64 bits wide, modulo 2**64.
+found from the edges of the class mask, and words are hashed by eight bytes at a time, so no Python
+object is made per word.  Hashes are 64 bits wide.  Each step of them is mixed, so that no pattern of
+bytes or words makes two of them equal, as it does in polynomials modulo 2**64.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19
+LONG = 128  #: bytes of a word up to which it is hashed by eight bytes; longer ones one by one
 
 WORD, SPACE = "word", "space"
 
 
 def tables(kind: str):
-    """(lower-casing table, mask of bytes inside a word, random letters) for a kind of word.
+    """(lower-casing table, mask of bytes inside a word) for a kind of word.
 
     word: digits, a-z and everything beyond ASCII.  space: everything but ASCII white space.
     """
@@ -28,8 +31,7 @@ def tables(kind: str):
     else:
         mask[:] = True
         mask[[32, 9, 10, 11, 12, 13]] = False
-    letters = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
-    return low, mask, letters
+    return low, mask
 
 
 def mix(h):
@@ -48,17 +50,45 @@ def powers(base: int, n: int):
     return np.multiply.accumulate(p)
 
 
-class Powers:
-    """Powers of the base and of its inverse, as far as a chunk needs."""
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  #: masks of the first n bytes of eight
+
+
+def eights(text):
+    """The eight bytes from each place of ``text`` on, as numbers; zeros follow its end."""
+    padded = np.zeros(len(text) + 8, dtype=np.uint8)
+    padded[: len(text)] = text
+    return np.ndarray(len(text) + 1, "<u8", padded, 0, (1,))
+
+
+def byte_hash(text, start, end, long: int = LONG):
+    """Hashes of text[start:end] for arrays of places; beyond ``long`` bytes one by one."""
+    view, size = eights(text), end - start
+    h = mix((view[start] & _HEADS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at) and done < long:
+        part = view[start[at] + done] & _HEADS[np.minimum(size[at] - done, 8)]
+        h[at] = mix(mix(h[at] + part) ^ U(0xD6E8FEB86659FD93))
+        done += 8
+        at = at[size[at] > done]
+    for i in at.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
-    def __init__(self, least: int = CHUNK):
-        self.n, self.least = -1, least
 
-    def upto(self, n: int):
-        if n > self.n:
-            self.n = max(n, self.least)
-            self.up, self.down = powers(_P, self.n), powers(pow(_P, -1, 2**64), self.n)
-        return self.up, self.down
+def _join(a, b):
+    return mix(a * U(0x9FB21C651E98DF25) + b * U(0xD1342543DE82EF95))
+
+
+def window_hash(text, n: int):
+    """Hashes of all n consecutive bytes, n at least 8: pieces of twice the size are joined from two."""
+    m = len(text) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    piece, size = mix(eights(text)[: len(text) - 7]), 8
+    while size * 2 <= n:
+        piece = _join(piece[:-size], piece[size:])
+        size *= 2
+    return piece[:m] if size == n else _join(piece[:m], piece[n - size : n - size + m])
 
 
 def chunks(column: pa.Array, most: int = CHUNK):
@@ -84,12 +114,12 @@ def chunks(column: pa.Array, most: int = CHUNK):
 
 
 class Words:
-    """Words of a chunk: ``start``, ``end`` (bytes), ``hash``, ``doc`` (row), ``first`` (of each row, and the total)."""
+    """Words of a chunk: ``start``, ``end`` (bytes), ``hash``, ``doc`` (row), ``first`` (of each row, and the total); ``text``: the lower-cased chunk."""
 
-    __slots__ = ("start", "end", "hash", "doc", "first", "_sums")
+    __slots__ = ("start", "end", "hash", "doc", "first", "text")
 
-    def __init__(self, data, offs, tabs, pw):
-        low, mask, letters = tabs
+    def __init__(self, data, offs, tabs):
+        low, mask = tabs
         text = low[data]
         n = len(text)
         inside = np.zeros(n + 1, dtype=bool)
@@ -103,25 +133,23 @@ class Words:
         last = offs[1:][offs[1:] > 0]
         ends[last] |= inside[last - 1]
         self.start, self.end = np.flatnonzero(begins[:n]), np.flatnonzero(ends)
-        up, down = pw.upto(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(letters[text] * up[:n], out=total[1:])
-        self._sums = total, down
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.text, self.hash = text, byte_hash(text, self.start, self.end)
         self.first = np.searchsorted(self.start, offs, "left")
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
 
-
     def prefix(self, n: int):
-        """Hashes of the words' first n bytes."""
-        total, down = self._sums
-        return mix((total[np.minimum(self.end, self.start + n)] - total[self.start]) * down[self.start])
+        """Hashes of the words' first n bytes, eight at most."""
+        return mix(eights(self.text)[self.start] & _HEADS[np.minimum(self.end - self.start, n)])
+
+    def run(self, a: int, z: int) -> bytes:
+        """Words a to z - 1, lower-cased, with a space between each two."""
+        return b" ".join(self.text[s:e].tobytes() for s, e in zip(self.start[a:z].tolist(), self.end[a:z].tolist()))
 
 
 def word_hash(word: str, kind: str = WORD) -> int:
     """The hash that Words gives this word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)
-    return int(Words(data, np.array([0, len(data)]), tables(kind), Powers(0)).hash[0])
+    return int(Words(data, np.array([0, len(data)]), tables(kind)).hash[0])
 
 
 def grams(h, n: int):

@@ -159,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
     kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]
 
     def f(batches):
-        tabs, pw = K.tables(K.WORD), K.Powers()
+        tabs = K.tables(K.WORD)
         seqs = [(np.array([K.word_hash(w) for w in words(p)], dtype=np.uint64), label) for p, label in phrases.items()]
         automata = [Automaton(*x) for x in templates]
         starts = np.array(sorted({K.word_hash(w) for a in automata for w in a.starts}), dtype=np.uint64)
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi, data, offs in K.chunks(column):
-                w = K.Words(data, offs, tabs, pw)
+                w = K.Words(data, offs, tabs)
                 many = np.diff(w.first)
                 base, runs = {}, {}
                 at, k = tests.find(w.hash)  # the words with which a phrase or a template may begin

@@ -32,9 +32,9 @@ FINE, BLOCK = 1024, 256
 LEAST = 0.7
 
 
-def _sets(data, offs, tabs, pw, size):
+def _sets(data, offs, tabs, size):
     """Sorted distinct shingle hashes of each row of a chunk."""
-    w = K.Words(data, offs, tabs, pw)
+    w = K.Words(data, offs, tabs)
     g = K.grams(w.hash, size)
     for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if z - a >= size:
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     """(id, n, s1, s2: a digest of the set, bits: packed low bits of the minima, bands: a hash for each band)."""
 
     def f(batches):
-        tabs, pw = K.tables(K.SPACE), K.Powers()
+        tabs = K.tables(K.SPACE)
         k = bands * rows
         rng = np.random.default_rng(7)
         times, plus = rng.integers(0, 2**64, k, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, k, dtype=np.uint64)
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offs in K.chunks(column):
-                sets = list(_sets(data, offs, tabs, pw, size))
+                sets = list(_sets(data, offs, tabs, size))
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 x = np.concatenate(sets)
@@ -138,12 +138,12 @@ def _fine(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int) ->
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def f(batches):
-        tabs, pw = K.tables(K.SPACE), K.Powers()
+        tabs = K.tables(K.SPACE)
         rng = np.random.default_rng(11)
         times, plus = rng.integers(0, 2**64, FINE, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, FINE, dtype=np.uint64)
         for batch in batches:
             for lo, hi, data, offs in K.chunks(batch.column(1)):
-                sets = list(_sets(data, offs, tabs, pw, size))
+                sets = list(_sets(data, offs, tabs, size))
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 bits = np.zeros((len(n), FINE), dtype=np.uint8)
@@ -221,10 +221,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def f(batches):
-        tabs, pw = K.tables(K.SPACE), K.Powers()
+        tabs = K.tables(K.SPACE)
         for batch in batches:
             for lo, hi, data, offs in K.chunks(batch.column(1)):
-                sets = [s.tobytes() for s in _sets(data, offs, tabs, pw, size)]
+                sets = [s.tobytes() for s in _sets(data, offs, tabs, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "words"])
 
     sets = stage(_texts(docs, ids, doc_id, text).mapInArrow(K.tidy(f), f"id {kind}, words binary").distinct(), "sets")

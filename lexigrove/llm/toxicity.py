@@ -38,10 +38,10 @@ def _sentences(w, data, offs):
 
 def _bags(batches, at: int):
     """(batch, row range, Words, features of each word (a row for each kind), sentence of each word, first words) of each chunk."""
-    tabs, pw = K.tables(K.WORD), K.Powers()
+    tabs = K.tables(K.WORD)
     for batch in batches:
         for lo, hi, data, offs in K.chunks(batch.column(at)):
-            w = K.Words(data, offs, tabs, pw)
+            w = K.Words(data, offs, tabs)
             sentence, first = _sentences(w, data, offs)
             kinds = [w.hash, *(K.mix(w.prefix(n) + K.U(n)) for n in PREFIXES)]
             yield batch, lo, hi, w, np.stack([(h >> K.U(64 - FEATURE_BITS)).astype(np.int64) for h in kinds]), sentence, first
