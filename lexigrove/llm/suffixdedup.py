@@ -1,20 +1,24 @@
 """Exact substring de-duplication over a logarithmic family of sparse suffix arrays.
 
-Bytes covered by a string of SPAN bytes that also starts elsewhere are found without looking at all
-suffixes.  Every window of SPAN bytes has an anchor, the leftmost GRAM bytes of least hash in it;
-equal windows have it at the same place.  Only anchors' suffixes are indexed (one in about 88).
-A run of window starts with one anchor is an entry: a fingerprint of the anchor (the order of the
-index, as the first bytes of a suffix are of a suffix array) and one of the run's whole text.
-
-Documents come in batches.  A batch's entries become a sorted level of the family; levels of equal
-size merge, so that each entry is merged about log2(batches) times.  Where entries with equal anchors
-meet in a merge, they are matched: equal runs repeat as a whole; runs that share the anchor, but not
-the whole text, are the ends of passages, and their single windows are compared afterwards.
+Bytes covered by a string of SPAN bytes that also starts elsewhere are found without an entry for every
+suffix, as that would take some twenty times the input.  Every window of SPAN bytes has an anchor, the
+leftmost GRAM bytes of least hash in it; equal windows have it at the same place.  Only the suffixes
+that begin at anchors are indexed (one in about 88).  An entry is a run of window starts with one
+anchor: its suffix's first GRAM bytes, as three numbers in the order of the bytes, and a hash of the
+run's whole text.
+
+Documents come in batches.  Each batch gets a suffix array of its own, sorted by these bytes, and is
+merge-scanned against the levels that are there: entries that meet in GRAM bytes are matches.  Levels
+of one size merge, and that scan is the merge itself, so that each entry is merged about log2(batches)
+times.  Matches whose runs are equal as a whole repeat as a whole.  The others are the ends of
+passages: their texts are read again and get a plain suffix array, over all their windows, by prefix
+doubling, in which neighbours with a common prefix of SPAN bytes or more repeat.
 
 Matches never cross documents; texts shorter than SPAN have none; nulls are empty.  Strings are judged
 on the input, so copies don't protect each other.  Equal rows are different places, each a copy of the
 other.  Texts of any length are read in pieces.  Columns of docs with the names of those added are
-replaced.  Fingerprints have 64 bits; strings are taken as equal if theirs are.
+replaced, others pass through whatever their names.  Whole runs are taken as equal if their hashes of
+64 bits are, and windows of groups of more than GROUP ends, too; other ends are compared by their bytes.
 """
 
 import hashlib
@@ -26,36 +30,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import drop_path, likely, stage, table, without, work_path
+from .common import drop_path, fresh, likely, stage, table, without, work_path
 
 SPAN, GRAM = 200, 24
 PIECE = 1 << 21  #: window starts handled at once
 GROUP = 4096  #: distinct runs of one key up to which one task compares them; beyond it windows are shuffled
 PARTS = "array<struct<a:int,z:int>>"
-_LETTERS = 24
-
-
-def _prefix(data, letters, pw):
-    up, down = pw.upto(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(letters[data] * up[: len(data)], out=total[1:])
-    return total, down
+KEY = ["k0", "k1", "k2"]  #: the first GRAM bytes of a suffix, in their order
+_PLACE = 24
 
 
-def _hash(total, down, a, z):
-    return K.mix((total[z] - total[a]) * down[a])
-
-
-def _runs(data, offs, letters, pw, span: int, gram: int):
-    """(row, first window start in the row, windows - 1, anchor hash, text hash) of each run in a chunk of whole rows."""
+def _runs(data, offs, span: int):
+    """(row, first window start in the row, windows - 1, key, text hash) of each run in a chunk of whole rows."""
     n = len(data)
     if n < span:
         return None
-    total, down = _prefix(data, letters, pw)
-    g = K.mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
-    low = K.U((1 << _LETTERS) - 1)
+    view = K.eights(data)[: n - 7]
+    m = K.mix(view)
+    g = K.mix(m[:-16] * K.U(0x9FB21C651E98DF25) + m[8:-8] * K.U(0xD1342543DE82EF95) + m[16:] * K.U(0xC2B2AE3D27D4EB4F))
+    low = K.U((1 << _PLACE) - 1)
     least = (g & ~low) | np.arange(len(g), dtype=np.uint64)  # the least hash, leftmost
-    want, have = span - gram + 1, 1
+    want, have = span - GRAM + 1, 1
     while have * 2 <= want:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -76,8 +71,8 @@ def _runs(data, offs, letters, pw, span: int, gram: int):
     stop = np.append(first[1:], n)
     last = np.minimum(stop - 1, offs[row + 1] - span)  # the next run, or the row's last window
     at = anchor[first]
-    text = _hash(total, down, first, last + span) ^ K.mix(((last - first).astype(np.uint64) << K.U(32)) + (at - first).astype(np.uint64))
-    return row, first - offs[row], last - first, g[at], K.mix(text)
+    key = [(view[at + i].byteswap() ^ K.U(1 << 63)).view(np.int64) for i in (0, 8, 16)]
+    return row, first - offs[row], last - first, key, K.byte_hash(data, first, last + span, 512)
 
 
 def _pieces(column, span: int):
@@ -91,72 +86,78 @@ def _pieces(column, span: int):
             yield lo, hi, part, np.array([0, len(part)]), a
 
 
-def entries(docs: DataFrame, batches: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(d, t: key of the row, batch, key, run, lo, n): the index entries of docs (d, t, text)."""
+def entries(docs: DataFrame, batches: int, span: int = SPAN) -> DataFrame:
+    """(d, t: key of the row, batch, k0, k1, k2, run, lo, n): the index entries of docs (d, t, text)."""
 
     def f(found):
-        letters, pw = K.tables(K.WORD)[2], K.Powers()
         for b in found:
             d, t, batch = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             for lo, _, data, offs, skip in _pieces(b.column(3), span):
-                if (x := _runs(data, offs, letters, pw, span, gram)) is None:
+                if (x := _runs(data, offs, span)) is None:
                     continue
                 row, first, n, key, run = x
                 row = row + lo
-                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(t[row]), pa.array(batch[row]), pa.array(K.signed(key)), pa.array(K.signed(run)), pa.array((first + skip).astype(np.int64)), pa.array(n.astype(np.int32))], ["d", "t", "batch", "key", "run", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(t[row]), pa.array(batch[row]), *map(pa.array, key), pa.array(K.signed(run)), pa.array((first + skip).astype(np.int64)), pa.array(n.astype(np.int32))], ["d", "t", "batch", *KEY, "run", "lo", "n"])
 
     rows = docs.select("d", "t", F.pmod(F.xxhash64("t", "d"), F.lit(batches)).cast("int").alias("batch"), "text")
-    return rows.mapInArrow(K.tidy(f), "d long, t long, batch int, key long, run long, lo long, n int")
+    return rows.mapInArrow(K.tidy(f), "d long, t long, batch int, k0 long, k1 long, k2 long, run long, lo long, n int")
 
 
 class Family:
-    """Levels of merged entries (key, times, low, high: the number of entries, and the least and largest run).
+    """Levels of entries in the order of their suffixes: (k0, k1, k2, times, low, high).
 
-    low = high: all entries of this key have one text.  A level's size is the number of its batches;
-    two levels of one size become one of twice the size.
+    times: the entries of this key; low, high: their least and largest run, equal if all have one text.
+    A level's size is the number of its batches; two levels of one size become one of twice the size.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, []  # (batches, path), the largest first
+        self.spark, self.levels, self.met = spark, [], []  # levels: (batches, path), the largest first; met: paths of matches
 
     @staticmethod
     def _merge(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return df.groupBy(*KEY).agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
 
-    def _write(self, df: DataFrame) -> str:
-        path = work_path(self.spark, "level")
-        df.sortWithinPartitions("key").select("key", "times", "low", F.col("high").bitwiseXOR(F.col("low")).alias("more")).write.parquet(path)
+    def _write(self, df: DataFrame, name: str = "level") -> str:
+        path = work_path(self.spark, name)
+        df.sortWithinPartitions(*KEY).select(*KEY, "times", "low", F.col("high").bitwiseXOR(F.col("low")).alias("more")).write.parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("key long, times long, low long, more long").parquet(path).select("key", "times", "low", F.col("low").bitwiseXOR(F.col("more")).alias("high"))
+        return self.spark.read.schema("k0 long, k1 long, k2 long, times long, low long, more long").parquet(path).select(*KEY, "times", "low", F.col("low").bitwiseXOR(F.col("more")).alias("high"))
 
     def insert(self, batch: DataFrame) -> None:
-        """Adds a batch of entries (key, run) and merges levels of equal size."""
-        self.levels.append((1, self._write(self._merge(batch.select("key", F.lit(1).cast("long").alias("times"), F.col("run").alias("low"), F.col("run").alias("high"))))))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, x), (_, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, self._write(self._merge(self._read(x).union(self._read(y))))))
-            drop_path(self.spark, x)
-            drop_path(self.spark, y)
+        """Adds a batch of entries (k0, k1, k2, run), matches it with all levels and merges those of equal size."""
+        one = F.lit(1).cast("long").alias("times")
+        size, path = 1, self._write(self._merge(batch.select(*KEY, one, F.col("run").alias("low"), F.col("run").alias("high"))))
+        while self.levels and self.levels[-1][0] == size:  # what meets here has times > 1 from now on
+            _, other = self.levels.pop()
+            merged = self._write(self._merge(self._read(other).union(self._read(path))))
+            drop_path(self.spark, other)
+            drop_path(self.spark, path)
+            size, path = 2 * size, merged
+        for _, other in self.levels:
+            old, new = self._read(other).alias("o"), self._read(path).alias("n")
+            both = old.join(new, KEY).select(*KEY, (F.col("o.times") + F.col("n.times")).alias("times"), F.least("o.low", "n.low").alias("low"), F.greatest("o.high", "n.high").alias("high"))
+            self.met.append(self._write(both, "met"))
+        self.levels.append((size, path))
 
     def repeated(self) -> DataFrame:
-        """(key, times, low, high) of the keys with more than one entry in the whole family."""
+        """(k0, k1, k2, same: whether all of its entries have one text) of the keys with more than one entry in the whole family."""
         rows = None
-        for _, path in self.levels:
-            rows = self._read(path) if rows is None else rows.union(self._read(path))
-        return (self._merge(rows) if len(self.levels) > 1 else rows).where("times > 1")
+        for path in [*(p for _, p in self.levels), *(self.met if len(self.levels) > 1 else ())]:
+            own = self._read(path).where("times > 1")
+            rows = own if rows is None else rows.union(own)
+        return rows.groupBy(*KEY).agg((F.min("low") == F.max("high")).alias("same")) if len(self.levels) > 1 else rows.select(*KEY, (F.col("low") == F.col("high")).alias("same"))
 
 
-def marks(docs: DataFrame, batches: int = 4, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def marks(docs: DataFrame, batches: int = 4, span: int = SPAN) -> DataFrame:
     """(d, t, marks: [(lo, n)]): the window starts lo to lo + n of docs (d, t, text) whose window repeats."""
     spark = docs.sparkSession
-    occ = stage(entries(docs, batches, span, gram), "entries")
+    occ = stage(entries(docs, batches, span), "entries")
     family = Family(spark)
     for i in range(batches):
         family.insert(occ.where(F.col("batch") == i))
-    again = family.repeated().select("key", (F.col("low") == F.col("high")).alias("same"))
-    hits = stage(occ.drop("batch").join(again, "key"), "hits")
+    hits = stage(occ.drop("batch").join(family.repeated(), KEY).select(F.xxhash64(*KEY).alias("key"), "d", "t", "run", "lo", "n", "same"), "hits")
 
     # passage ends: one place for each distinct run of a key with several
     ends = hits.where("NOT same").groupBy("key", "run").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "lo", "n")).alias("x"))
@@ -173,7 +174,7 @@ def marks(docs: DataFrame, batches: int = 4, span: int = SPAN, gram: int = GRAM)
     ends = ends.select("key", "run", F.when(F.col("times") > 1, F.lit(None)).otherwise(F.coalesce("parts", F.array().cast(PARTS))).alias("parts"))
     whole = hits.where("same").select("d", "t", "lo", "n", F.lit(None).cast(PARTS).alias("parts"))
     partly = hits.where("NOT same").join(ends, ["key", "run"]).select("d", "t", "lo", "n", "parts").where("parts IS NULL OR size(parts) > 0")
-    return stage(whole.union(partly).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "n", "parts")).alias("marks")), "marks")
+    return stage(whole.union(partly).groupBy("d", "t").agg(F.collect_set(F.struct("lo", "n", "parts")).alias("marks")), "marks")
 
 
 def _cut(span: int):
@@ -193,42 +194,53 @@ def _cut(span: int):
     return f
 
 
-def _hashes(t, letters, pw, span: int):
-    """(row, window, hash) of all windows of the runs in t (n, part)."""
+def _texts(t):
+    """(row, window, its place in the bytes, the bytes) of all windows of the runs in t (n, part)."""
     many = t.column("n").to_numpy().astype(np.int64) + 1
     parts = t.column("part").combine_chunks() if isinstance(t.column("part"), pa.ChunkedArray) else t.column("part")
     offs = np.frombuffer(parts.buffers()[1], dtype=np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
     data = np.frombuffer(parts.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]]
-    total, down = _prefix(data, letters, pw)
     row = np.repeat(np.arange(len(many)), many)
     window = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = (offs[:-1] - offs[0])[row] + window
-    return row, window, _hash(total, down, at, at + span)
+    return row, window, (offs[:-1] - offs[0])[row] + window, data
 
 
 def _windows(span: int):
     def f(batches):
-        letters, pw = K.tables(K.WORD)[2], K.Powers()
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 t = b.slice(a, 2000)
-                row, window, h = _hashes(t, letters, pw, span)
+                row, window, at, data = _texts(t)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), t.column("key").take(rows), t.column("run").take(rows), pa.array(window.astype(np.int32))], ["h", "key", "run", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.window_hash(data, span)[at])), t.column("key").take(rows), t.column("run").take(rows), pa.array(window.astype(np.int32))], ["h", "key", "run", "i"])
 
     return f
 
 
+def prefix_ranks(data, at, span: int):
+    """Ranks, in the order of bytes, of the ``span`` bytes from each place in ``at`` on: suffixes with one rank share them.
+
+    By prefix doubling: the rank of 2n bytes is that of the pair of ranks of n bytes.
+    """
+    _, rank = np.unique(K.eights(data)[: len(data) - 7].byteswap(), return_inverse=True)
+    size = 8
+    while size * 2 <= span:
+        _, rank = np.unique(rank[:-size].astype(np.uint64) << K.U(32) | rank[size:].astype(np.uint64), return_inverse=True)
+        size *= 2
+    _, rank = np.unique(rank[at].astype(np.uint64) << K.U(32) | rank[at + span - size].astype(np.uint64), return_inverse=True)
+    return rank
+
+
 def _compare(span: int):
     """The repeated windows of runs (key, run, n, part), which come sorted by key, as parts a to z of the windows.
 
     Equal windows have equal keys, so whatever holds all runs of its keys can be compared at once.
     """
 
-    def found(t, letters, pw):
-        row, window, h = _hashes(t, letters, pw, span)
-        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        again = times[inverse] > 1
+    def found(t):
+        row, window, at, data = _texts(t)
+        rank = prefix_ranks(data, at, span)
+        again = np.bincount(rank)[rank] > 1
         first = again.copy()
         first[1:] &= ~(again[:-1] & (row[1:] == row[:-1]))
         last = again.copy()
@@ -239,7 +251,6 @@ def _compare(span: int):
         return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("run").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], ["key", "run", "parts"])
 
     def f(batches):
-        letters, pw = K.tables(K.WORD)[2], K.Powers()
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -247,32 +258,27 @@ def _compare(span: int):
             key = t.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
             if cut:
-                yield found(t.slice(0, cut).combine_chunks(), letters, pw)
+                yield found(t.slice(0, cut).combine_chunks())
             rest = t.slice(cut)
         if rest is not None and len(rest):
-            yield found(rest.combine_chunks(), letters, pw)
+            yield found(rest.combine_chunks())
 
     return f
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with d and t, the row's key: its id and text by hash."""
-    return docs.withColumns({"_d": F.xxhash64(F.lit(3), doc_id), "_t": F.xxhash64(text, doc_id)})
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4, span: int = SPAN) -> DataFrame:
     """docs with kept (binary: the bytes left), n_bytes, n_removed and spans (start, end of the removed runs, in bytes)."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "spans", "_d", "_t")
+    docs = without(docs, "kept", "n_bytes", "n_removed", "spans")
     columns = docs.columns
-    rows = keyed(docs, doc_id, text)
-    found = marks(rows.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col(text).alias("text")), batches, span, gram)
-    flags = rows.withColumnRenamed("_d", "d").withColumnRenamed("_t", "t")
-    some = likely(found, "d", "t")
+    d, t, found_in = fresh(docs, "d", "t", "marks")
+    rows = docs.withColumns({d: F.xxhash64(F.lit(3), doc_id), t: F.xxhash64(text, doc_id)})
+    found = marks(rows.select(F.col(d).alias("d"), F.col(t).alias("t"), F.col(text).alias("text")), batches, span)
+    some = likely(found, "d", "t", named=[d, t])
     kept = F.coalesce(F.col(text), F.lit("")).cast("binary")
     added = "kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields])
-    clean = flags.where(~some).select(*columns, kept.alias("kept"), F.length(kept).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-    touched = flags.where(some).join(found, ["d", "t"], "left").select(*columns, "marks")
+    clean = rows.where(~some).select(*columns, kept.alias("kept"), F.length(kept).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    touched = rows.where(some).join(found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("marks").alias(found_in)), [d, t], "left").select(*columns, found_in)
 
     def f(batches):
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -280,7 +286,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             own = b.select(columns)
             texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
             out = [[], [], [], []]
-            for i, ms in enumerate(b.column(b.schema.get_field_index("marks"))):
+            for i, ms in enumerate(b.column(b.schema.get_field_index(found_in))):
                 data = np.frombuffer(texts[i].as_buffer(), np.uint8) if texts[i].is_valid else np.zeros(0, np.uint8)
                 spans, gone = [], None
                 if ms.is_valid:
