@@ -70,12 +70,52 @@ def test_kernel_words_are_the_regex():
     assert [[x.translate(lower) for x in g] for g in got] == [re.findall(WORD_RE, (t or "").translate(lower)) for t in texts]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two texts of n bytes that polynomials modulo 2**64 can't tell apart from n = 1,024 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [64, 200, 256, 512, 1024, 2048, 4096])
+def test_hashes_tell_patterned_texts_apart(n):
+    x, y = thue_morse(n)
+    assert kernel.word_hash(x) != kernel.word_hash(y)
+    data = [np.frombuffer(t.encode(), np.uint8) for t in (x, y)]
+    assert len({int(kernel.window_hash(t, n)[0]) for t in data}) == 2
+    assert len({int(kernel.byte_hash(t, np.array([0]), np.array([n]), 512)[0]) for t in data}) == 2
+
+
+def test_window_hashes_are_of_the_windows():
+    data = np.frombuffer(b"abcdefgh" * 40 + b"xyz" * 30, np.uint8)
+    for n in (8, 24, 75, 200):
+        h = kernel.window_hash(data, n)
+        seen = {}
+        for i in range(len(data) - n + 1):
+            seen.setdefault(bytes(data[i : i + n]), set()).add(int(h[i]))
+        assert len(h) == len(data) - n + 1 and all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_patterned_words_are_not_taken_as_equal(spark, n):
+    x, y = thue_morse(n)
+    items = spark.createDataFrame([(9, "one two " + x + " three four five six seven")], "item_id long, text string")
+    docs = [(1, "one two " + y + " three four five six seven"), (2, "one two " + x + " three four five six seven")]
+    for broadcast_runs in (10**6, 0):
+        got = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(frame(spark, docs), items, broadcast_runs=broadcast_runs).collect()}
+        assert got == {1: 0, 2: 8}
+    assert [r.kept for r in neardup.near_duplicates(frame(spark, [(1, x), (2, y)])).orderBy("doc_id").collect()] == [True, True]
+    other = " " + "".join(random.Random(n).choices("cdefgh", k=300)) + " "
+    docs = [(1, x + other + y), (2, y + other + "b"), (3, x + "c" + x)]
+    got = rows(suffixdedup.remove_repeats(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)))
+    assert got == sorted(suffixdedup.brute(docs))
+
+
 @pytest.mark.parametrize("broadcast_runs", [10**6, 0])
 def test_decontaminate(spark, corpus, broadcast_runs):
     text = {i: t for i, t in corpus}
     items = [(1, text[3]), (2, " ".join(text[5].split()[:8])), (3, "one two é"), (4, None), (5, ""), (6, text[65]), (7, text[65]), (7, text[3]), (8, "ONE"), (None, text[5])]
     docs = corpus + [corpus[3], (3, text[3] + " and more")]
-    df = frame(spark, docs).withColumn("items", F.lit("clash"))
+    df = frame(spark, docs).withColumns({"items": F.lit("clash"), "map": F.create_map(F.lit(1), F.lit(2)), **{c: F.lit(0) for c in ("_row", "_sum", "key", "_key", "places", "fp", "run", "at", "n")}})
     out = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_runs=broadcast_runs)
     got = rows(out.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), F.size("items") >= 2))
     want = sorted(decontaminate.brute(docs, [x for x in items if x[0] is not None]), key=lambda r: (r[0] is None, r))
@@ -252,32 +292,54 @@ def test_passages_with_words_put_in_and_left_out(spark):
     assert chaining.passages(spark.createDataFrame([], DOC)).count() == 0
 
 
+def best_chain(x, last, d, words):
+    """The best score of any chain, by trying all predecessors of each segment."""
+    score = {}
+    for k in sorted(range(len(x)), key=lambda k: x[k]):
+        y = x[k] + d[k]
+        before = [m for m in score if last[m] < x[k] and last[m] + d[m] < y]
+        score[k] = words[k] + max([0.0, *(score[m] - chaining.GAP * (x[k] - last[m] - 1 + y - last[m] - d[m] - 1) for m in before)])
+    return score
+
+
 def test_chains_are_best():
-    """The tree's chains score what trying all predecessors gives."""
-    rng = random.Random(11)
-
-    def cost(dx, dy):
-        return min(6, dx, dy) - chaining.GAP * abs(dx - dy) - chaining.GAP / 10 * dx
-
-    for _ in range(200):
-        n = rng.randint(3, 25)
-        x = [rng.randrange(40) for _ in range(n)]
-        y = [v + rng.choice([0, 0, 0, 2, -3]) + 10 for v in x]
-        best = {}
-        for k in sorted(range(n), key=lambda k: x[k]):
-            best[k] = 6 + max([0.0, *(best[m] - 6 + cost(x[k] - x[m], y[k] - y[m]) for m in best if x[m] < x[k] and y[m] < y[k])])
-        found = chaining.chains(x, y, least=1)
-        assert sorted(k for c in found for k in c) == sorted(set(range(n))) or len({y[k] - x[k] for k in range(n)}) == 1
-        for c in found:
-            assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:]))
-        score = max(6 + sum(cost(x[b] - x[a], y[b] - y[a]) for a, b in zip(c, c[1:])) for c in found)
-        assert score <= max(best.values()) + 1e-9
+    """The tree's chains score what trying all predecessors gives, which single segments seldom do."""
+    rng, better = random.Random(11), 0
+    for _ in range(500):
+        n = rng.randint(1, 30)
+        x = [rng.randrange(200) for _ in range(n)]
+        last = [v + rng.choice([0, 0, 2, 9]) for v in x]
+        d = [rng.choice([0, 0, 0, 2, -3, 40, -25]) for _ in x]
+        words = [z - a + 3 for a, z in zip(x, last)]
+        want = best_chain(x, last, d, words)
+        found = chaining.chains(x, last, d, words)
+        assert sorted(k for _, c in found for k in c) == list(range(n))
+        assert found[0][0] == pytest.approx(max(want.values()))
+        for score, c in found:
+            assert score == pytest.approx(want[c[-1]])
+            assert all(last[a] < x[b] and last[a] + d[a] < x[b] + d[b] for a, b in zip(c, c[1:]))
+        c = found[0][1]
+        own = sum(words[k] for k in c) - chaining.GAP * sum(x[b] - last[a] - 1 + x[b] + d[b] - last[a] - d[a] - 1 for a, b in zip(c, c[1:]))
+        assert own == pytest.approx(found[0][0])  # the best chain is there as a whole
+        better += found[0][0] > max(words) + 1e-6
+    assert better > 300
+
+
+def test_segments():
+    x = np.array([5, 0, 3, 40, 2, 7, 1])
+    y = np.array([15, 10, 13, 50, 2, 0, 11])
+    got = chaining.segments(np.array([0, 0, 0, 0, 1, 0, 0]), x, y)
+    assert [g.tolist() for g in got] == [[0, 0, 0, 1], [0, 7, 40, 2], [5, 7, 40, 2], [10, -7, 10, 0], [8, 3, 3, 3], [4, 1, 1, 1]]
 
 
 def test_chains_after_a_better_passage():
-    """The end of a better passage out of reach hides none of the matches of the next one."""
-    x, y = [*range(0, 50, 5), *range(200, 250, 5)], [*range(0, 50, 5), *range(150, 200, 5)]
-    assert sorted(chaining.chains(x, y)) == [[*range(10)], [*range(10, 20)]]
+    """The end of a better passage far back hides none of the segments of the next one."""
+    for two in (-50, 50):
+        for far in (60, 200, 2000):
+            x, d = [0, 20, far, far + 20], [0, 0, two, two]
+            found = [c for _, c in chaining.chains(x, [v + 12 for v in x], d, [15] * 4)]
+            assert any({0, 1} <= set(c) for c in found) and any({2, 3} <= set(c) for c in found)
+            assert len(found) == (2 if far == 2000 else 1)
 
 
 def test_two_passages_of_two_texts(spark):
@@ -338,12 +400,41 @@ def repeats(corpus):
     return docs
 
 
+def test_prefix_ranks_are_in_the_order_of_bytes():
+    rng = random.Random(3)
+    data = bytes(rng.choice(b"ab\x80\xff") for _ in range(400)) + b"a" * 300
+    at = np.arange(len(data) - 200 + 1)
+    rank = suffixdedup.prefix_ranks(np.frombuffer(data, np.uint8), at, 200)
+    want = {t: i for i, t in enumerate(sorted({data[i : i + 200] for i in at}))}
+    assert rank.tolist() == [want[data[i : i + 200]] for i in at]
+
+
+def test_a_family_matches_each_batch_with_all_before(spark):
+    """Whatever the number of batches, and so of levels: keys in several entries, of one batch or of more."""
+    rng = random.Random(8)
+    entries = [(rng.randrange(40) - 20, 0, rng.randrange(3), rng.choice([7, 7, 8]), b) for b in range(7) for _ in range(12)]
+    df = spark.createDataFrame(entries, "k0 long, k1 long, k2 long, run long, batch int")
+    for n in range(1, 8):
+        family = suffixdedup.Family(spark)
+        for b in range(n):
+            family.insert(df.where(F.col("batch") == b))
+        assert [s for s, _ in family.levels] == [1 << i for i in range(3, -1, -1) if n >> i & 1]
+        by = {}
+        for *key, run, b in entries:
+            if b < n:
+                by.setdefault(tuple(key), []).append(run)
+        assert sorted(tuple(r) for r in family.repeated().collect()) == sorted((*k, len(set(v)) == 1) for k, v in by.items() if len(v) > 1)
+        for _, path in family.levels:
+            for part in spark.read.parquet(path).withColumn("p", F.input_file_name()).groupBy("p").agg(F.collect_list(F.struct("k0", "k1", "k2")).alias("k")).collect():
+                assert part.k == sorted(part.k)
+
+
 @pytest.mark.parametrize(("group", "piece", "batches"), [(4096, 1 << 21, 4), (1, 300, 3)])
 def test_suffix_family(spark, corpus, monkeypatch, group, piece, batches):
     monkeypatch.setattr(suffixdedup, "GROUP", group)
     monkeypatch.setattr(suffixdedup, "PIECE", piece)
     docs = repeats(corpus)
-    df = frame(spark, docs).withColumn("spans", F.lit(0))
+    df = frame(spark, docs).withColumns({c: F.lit(0) for c in ("spans", "d", "t", "_d", "_t", "marks", "key", "run")})
     out = suffixdedup.remove_repeats(df, batches=batches)
     got = rows(out.select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)))
     assert got == sorted(suffixdedup.brute(docs), key=lambda r: (r[0] is None, r))
@@ -356,6 +447,15 @@ def test_suffix_family_of_nothing(spark):
     assert one[0].n_removed == 0 and bytes(one[0].kept).decode() == LONG and one[1].n_bytes == 0
 
 
+def test_copies_are_passages_of_the_first(spark):
+    rng = random.Random(5)
+    words = vocabulary(rng)
+    text, short = prose(rng, words, 60), prose(rng, words, 30)
+    docs = [(4, text), (2, text), (2, text), (9, text), (7, short), (8, short), (None, text), (9, "other"), (11, None), (12, None), (13, ""), (14, "")]
+    out = rows(chaining.passages(frame(spark, docs)).select("doc_id", "start", "end", "other_id", "other_start", "other_end", "n_equal", "identity"))
+    assert out == [(4, 0, 60, 2, 0, 60, 60, 1.0), (9, 0, 60, 2, 0, 60, 60, 1.0)]
+
+
 def test_passages_of_one_word(spark):
     """Runs of one word match in step, though all their k-mers are equal."""
     docs = [(1, "start " + "spam " * 90 + "end"), (2, "other text " + "spam " * 80), (3, "spam " * 20)]
