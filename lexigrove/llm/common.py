@@ -3,8 +3,9 @@
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.workdir import shared_dir, spread
 
@@ -76,6 +77,45 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame):
+    """A hash of whole rows, whatever the types of their columns."""
+
+    def plain(kind) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return F.xxhash64(*[F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields])
+
+
+def one_of(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of df for each value of ``keys``, the same in every run: that whose JSON text is least."""
+    row, text = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    found = df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.coalesce(text, F.lit(""))).alias("row"))
+    return found.select("row.*")
+
+
+def numbered(df: DataFrame, order: list, name: str, per: tuple[str, ...] = ()) -> DataFrame:
+    """df, written down, with ``name``: its number from 1 on in this order, within ``per``, columns that the order begins with.
+
+    Rows are cut into ranges, numbered in each and offset by the rows of the ranges before, which are
+    counted first, so that no task sees all rows of a group.
+    """
+    part, at, first, before = fresh(df, "part", "at", "first", "before")
+    own = [f"{c}_" for c in fresh(df, *per)]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at))
+    rows = stage(rows, "numbered")
+    counts = rows.groupBy(part, *per).agg(F.count("*").alias("n"), F.min(at).alias(first))  # a row for each range and group in it
+    earlier = Window.partitionBy(*per).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(part).alias("part_"), *[F.col(c).alias(o) for c, o in zip(per, own)], first, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    same = F.col(part) == F.col("part_")
+    for c, o in zip(per, own):
+        same &= F.col(c).eqNullSafe(F.col(o))
+    return rows.join(counts, same).withColumn(name, F.col(before) + F.col(at) - F.col(first) + 1).select(*df.columns, name)
+
+
 FILTER = 1 << 21  #: buckets of the filter of likely()
 
 

@@ -4,23 +4,24 @@ Of all document rates that meet each constraint's tokens, those nearest to 1 in
 exponentially tilted: exp(sum of one multiplier for each constraint that a document falls under).
 The multipliers solve a convex dual; its Newton steps are aggregations over a table of cells, one for
 each combination of constraint groups, with the tokens that it holds.  Groups of constraints (sources,
-languages, ...) take turns, and within a group the Hessian is diagonal, so that a step needs no solver.
+languages, ...) take turns, and within a group the Hessian is diagonal, so that a step needs no solver;
+steps are taken on the logarithm of each constraint's tokens, which one group alone meets at once.
 
 Rates are rounded to copies by systematic sampling: within a source, documents in order of size get
 their floor and each 1/fraction-th one more, so that the tokens taken differ from the target by at
-most about one document's size for each bucket of BUCKET_ROWS documents.
+most about one document's size.  Documents are numbered by ranges, whatever the source's size.
 
 Null sources are one source, the last.  Documents without words have size 0 and any rate meets them.
-Columns of the input with the names of those added are replaced.
+Rows that are equal in source, size and id are interchangeable: some may be taken more often.
+Columns of the input pass through expand() whatever their names; mix() returns columns of its own.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, stage, table
+from .common import SPACE_RE, fresh, numbered, one_of, stage, table
 
 MOST = 3.0  #: copies of a document at most
-BUCKET_ROWS = 50_000  #: documents of a source that one task puts in order
 _PHASE = 0.381966  #: where the sampling starts; no simple fraction, so that no rate hits it exactly
 
 
@@ -35,78 +36,77 @@ def targets(totals: DataFrame, most: float = MOST) -> DataFrame:
     times its source's size and the excess goes to the others by weight: the level L at which
     sum(min(most * size, L * weight)) is the sum of all sizes.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
-    x = totals.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double")).withColumn("cap", most * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_rows = Window.partitionBy()
-    x = x.withColumns({
-        "fixed": F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "open": F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        "total": F.sum("source_size").over(all_rows).cast("double"),
-    })
-    x = x.withColumn("level", (F.col("total") - F.col("fixed")) / F.col("open"))
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("fixed"), F.col("open")))).over(all_rows))
-    share = (F.col("total") - F.col("level.fixed")) * F.col("weight") / F.col("level.open")
-    return x.select("source", "source_size", "n", F.when(F.col("level").isNull() | (share > F.col("cap")), F.col("cap")).otherwise(share).alias("target"))
+    x = numbered(totals, [F.col("source").asc_nulls_last()], "number").withColumn("weight", ((F.col("number") - 1) % 3 + 1).cast("double")).withColumn("cap", most * F.col("source_size"))
+    x = stage(x, "weights")
+    total, open_, sources = x.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0)), F.count("*")).first()
+    fixed, closed = 0.0, 0
+    while open_:  # the level rises until no more sources stop below it
+        over = F.lit((total - fixed) / open_) * F.col("weight") > F.col("cap")
+        n, fixed_, left = x.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == closed:
+            break
+        fixed, open_, closed = fixed_, left, n
+    share = F.lit(total - fixed) * F.col("weight") / F.lit(open_) if open_ else F.col("cap")
+    return x.select("source", "source_size", "n", F.least(share, F.col("cap")).alias("target"))
 
 
 def balance(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = 1e-12, max_rounds: int = 200) -> DataFrame:
     """cells with rate, the exponential tilt under which each value of each group has its target of tokens.
 
     cells: group columns and tokens.  goals: for each group column, (its values under the column's
-    name, target).  Targets without tokens can't be met and are left alone.
+    name, target).  Targets without tokens can't be met and are left alone; goals that contradict each
+    other raise.
     """
-    cells = stage(cells.withColumn("_log", F.lit(0.0)), "cells")
-    kept = [c for c in cells.columns if c != "_log"]
+    log, off = fresh(cells, "log", "off")
+    kept = cells.columns
+    cells = cells.withColumn(log, F.lit(0.0))
     for _ in range(max_rounds):
         worst = 0.0
         for group, goal in goals.items():
-            now = cells.groupBy(group).agg(F.sum(F.col("tokens") * F.exp("_log")).alias("now"), F.sum("tokens").alias("held"))
-            step = now.join(goal.select(F.col(group).alias("_value"), "target"), F.col(group).eqNullSafe(F.col("_value"))).where("held > 0")
-            # Newton: gradient (now - target) over Hessian (now); a target of 0 drives the rate to 0 at once
-            ratio = F.col("target") / F.col("now")
-            step = step.select("_value", F.when(F.col("target") <= 0, F.lit(-745.0)).when(F.col("now") > 0, F.least(F.greatest(ratio - 1, F.lit(-2.0)), F.lit(2.0))).otherwise(0.0).alias("_step"), F.when((F.col("target") > 0) & (F.col("now") > 0), F.abs(ratio - 1)).otherwise(0.0).alias("_off"))
-            step = stage(step, "step")
-            worst = max(worst, step.agg(F.max("_off")).first()[0] or 0.0)
-            cells = stage(cells.join(step, F.col(group).eqNullSafe(F.col("_value")), "left").select(*kept, F.greatest(F.col("_log") + F.coalesce("_step", F.lit(0.0)), F.lit(-745.0)).alias("_log")), "cells")
+            now = cells.groupBy(F.col(group).alias("value_")).agg(F.sum(F.col("tokens") * F.exp(log)).alias("now"), F.sum("tokens").alias("held"))
+            step = now.join(goal.select(F.col(group).alias("goal_"), "target"), F.col("value_").eqNullSafe(F.col("goal_"))).where("held > 0")
+            # Newton on log(now) = log(target), whose derivative is 1; a target of 0 drives the rate to 0 at once
+            met = (F.col("target") > 0) & (F.col("now") > 0)
+            step = step.select("value_", F.when(F.col("target") <= 0, F.lit(-745.0)).when(met, F.log(F.col("target") / F.col("now"))).otherwise(0.0).alias("step_"), F.when(met, F.abs(F.col("target") / F.col("now") - 1)).otherwise(0.0).alias(off))
+            cells = cells.drop(off).join(step, F.col(group).eqNullSafe(F.col("value_")), "left")
+            cells = stage(cells.select(*kept, F.greatest(F.col(log) + F.coalesce("step_", F.lit(0.0)), F.lit(-745.0)).alias(log), off), "cells")
+            worst = max(worst, cells.agg(F.max(off)).first()[0] or 0.0)
         if worst <= tolerance:
-            break
-    return cells.withColumn("rate", F.when(F.col("_log") <= -745, 0.0).otherwise(F.exp("_log"))).drop("_log")
+            return cells.withColumn("rate", F.when(F.col(log) <= -745, 0.0).otherwise(F.exp(log))).drop(log, off)
+    raise RuntimeError(f"the goals contradict each other: one is off by a share of {worst:.3g} after {max_rounds} rounds")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST, mark=None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST, mark=None) -> DataFrame:
     """(doc_id, source, size, mark, source_size, target, rate, copies), a row for each row of docs; reruns agree.
 
-    mark: a column to carry along.
+    mark: a column to carry along, by which rows equal in source, size and id are told apart.
     """
     rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), (F.lit(0) if mark is None else mark).alias("mark")), "sizes")
     totals = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
-    goals = stage(targets(totals, most), "targets")
+    goals = targets(totals, most)
     rates = balance(totals.select("source", F.col("source_size").alias("tokens")), {"source": goals}).select(F.col("source").alias("_source"), "rate")
-    plan = goals.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select(
-        F.col("source").alias("_source"), "source_size", "target", F.least("rate", F.lit(most)).alias("rate"), F.ceil(F.col("n") / bucket_rows).alias("_buckets")
-    )
+    plan = goals.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_source"), "source_size", "target", F.least("rate", F.lit(most)).alias("rate"))
+    rows = numbered(rows.withColumn("tie", F.monotonically_increasing_id()), ["source", "size", "doc_id", "mark", "tie"], "rank", ("source",))
     rows = rows.join(stage(plan, "plan"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("_buckets")))
-    rank = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("size", "doc_id"))
     whole = F.floor(F.col("rate") + 1e-9)
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    phase = F.pmod(F.lit(_PHASE) + F.col("_bucket") * 0.6180339887498949, F.lit(1.0))
-    extra = F.floor(rank * part + phase) - F.floor((rank - 1) * part + phase)
+    extra = F.floor(F.col("rank") * part + _PHASE) - F.floor((F.col("rank") - 1) * part + _PHASE)
     return rows.withColumn("copies", (whole + extra).cast("int")).select("doc_id", "source", "size", "mark", "source_size", "target", "rate", "copies")
 
 
 def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST) -> DataFrame:
-    """docs with each row repeated by its copies under mix(); rows that are equal in id, source and text share theirs."""
-    copies = mix(docs, doc_id, text, source, most, F.xxhash64(text)).groupBy("doc_id", "source", "mark").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    copies = stage(copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "_copies", "_rows"), "copies")
-    rows = docs.withColumn("_text", F.xxhash64(text))
-    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_mark"))).where("_copies > 0")
-    one = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_id", "_source", "_mark"]))
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs with each row repeated by its copies under mix(); of rows that are equal in id, source and text one stands for all."""
+    i, s, m, copies, many, mark, number = fresh(docs, "i", "s", "m", "copies", "rows", "mark", "number")
+    found = mix(docs, doc_id, text, source, most, F.xxhash64(text)).groupBy("doc_id", "source", "mark").agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(many))
+    found = stage(found.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("mark").alias(m), copies, many), "copies")
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    rows = rows.join(found, F.col(doc_id).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(mark) == F.col(m))).where(F.col(copies) > 0)
+    one = rows.where(F.col(many) == 1).unionByName(one_of(rows.where(F.col(many) > 1), i, s, m))
+    return one.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_entropy_balancing(spark, sf_dir):
+    """The words that the mix takes of each document, by whole tables."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
