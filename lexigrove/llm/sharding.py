@@ -1,17 +1,19 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters rows uniformly into buckets that fit a task's memory, by a seeded hash; pass two
-puts each bucket into a fixed order, shuffles it (Fisher-Yates, seeded by the bucket) and writes it.
-The buckets, one after another, are one shuffled sequence; shards are equal cuts of it, so that their
-counts of rows are at most one apart, and each bucket falls into one shard or two.
+Pass one scatters rows uniformly into buckets that fit a task's memory, by a seeded hash of their id and
+text; pass two puts each bucket into a fixed order, shuffles it (Fisher-Yates, seeded by the bucket) and
+writes it.  The buckets, one after another, are one shuffled sequence; shards are equal cuts of it, so
+that their counts of rows are at most one apart, and each bucket falls into one shard or two.
 
-A bucket's bytes are known before the scatter, from a count of fine cells of the hash; buckets are
-runs of cells.  A cell that is too large by itself can only hold repeats of one row: these get a
-salt, written down first, and are spread over several buckets.
+The number of buckets follows from the bytes of the table.  Rows of one id and text all have one hash;
+where these alone would overfill a bucket, they are numbered, by their other columns, and each
+bucketful of them has a hash of its own.  Buckets' counts of rows are all that the driver holds, 8 bytes
+for each BUCKET_BYTES of the table.
 
 Null texts have no bytes, null ids are a value like others, an empty table makes no shard files.
-Columns named shard or slot are replaced.  The same rows and seed give the same shards and slots,
-up to exchanges between equal rows.
+Columns named shard or slot are replaced, others pass through whatever their names and types.  The same
+rows, seed and bucket size give the same shards and slots, however the rows come, up to exchanges
+between rows that are equal in all columns.
 """
 
 import numpy as np
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import stage, table, without, work_path
+from .common import fresh, likely, numbered, row_hash, stage, table, without, work_path
 
-CELLS = 1 << 16  #: fine cells of the hash; buckets are runs of these
-BUCKET_BYTES = 16 << 20  #: bytes of text, and 64 a row, that a bucket may hold
+BUCKET_BYTES = 24 << 20  #: bytes of text, and 64 a row, that a bucket holds on average
+TASKS = 50_000  #: tasks of pass two at most; beyond it, a task takes several buckets, one after another
 
 
 def _size(text: str):
@@ -34,71 +36,83 @@ def _size(text: str):
 def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, path: str | None = None, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes docs in shuffled order to ``path``/shard=N and reads them back, with shard and slot."""
     spark = docs.sparkSession
-    docs = without(docs, "shard", "slot", "_key", "_cell", "_salt", "_bucket")
-    columns = docs.columns
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    docs = docs.withColumns({"_key": key, "_cell": F.pmod(key, F.lit(CELLS)).cast("int"), "_salt": F.lit(0)})
-
-    def cells(df):
-        # at most CELLS rows, and those of the salts
-        return df.groupBy("_cell", "_salt").agg(F.count("*").alias("n"), F.sum(_size(text) + 64).alias("bytes")).orderBy("_cell", "_salt").collect()
-
-    counted = cells(docs)
-    if large := {r["_cell"]: int(r["bytes"] // bucket_bytes) + 1 for r in counted if r["bytes"] > 2 * bucket_bytes}:
-        parts = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-        docs = stage(docs.withColumn("_salt", F.when(F.col("_cell").isin(*large), F.pmod(F.monotonically_increasing_id(), parts[F.col("_cell")]).cast("int")).otherwise(0)), "salted")
-        counted = cells(docs)
-    total = sum(r["n"] for r in counted)
-    bounds, offsets, held, seen = [], [], 0, 0  # the first (cell, salt) of each bucket, and the rows before it
-    for r in counted:
-        if not bounds or held + r["bytes"] > bucket_bytes:
-            bounds.append(r["_cell"] * (1 << 32) + r["_salt"])
-            offsets.append(seen)
-            held = 0
-        held += r["bytes"]
-        seen += r["n"]
-    ends = spark.sparkContext.broadcast((np.array(bounds or [0], dtype=np.int64), np.array(offsets or [0], dtype=np.int64)))
+    docs = without(docs, "shard", "slot")
+    columns, kinds = docs.columns, docs.schema.fields
+    schema = T.StructType([*kinds, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    key, tie, rank, salt, bucket, per = fresh(docs, "key", "tie", "rank", "salt", "bucket", "per")
+    docs = docs.withColumns({key: F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), tie: row_hash(docs)})
+
+    keys = stage(docs.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum(_size(text) + 64).alias("bytes")), "keys")
+    total, held = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if not total:
+        return spark.createDataFrame([], schema)
+    buckets = max(1, -(-held // bucket_bytes))
+
+    def place(k, salt):
+        return F.pmod(F.xxhash64(F.lit(seed + 1), k, salt), F.lit(buckets)).cast("int")
+
+    zero = F.lit(0).cast("long")
+    counts = keys.select(place(F.col("key"), zero).alias("bucket"), "n")
+    hot = keys.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select(F.col("key").alias(key), F.greatest(F.lit(1), F.floor(bucket_bytes * F.col("n") / F.col("bytes"))).cast("long").alias(per))
+    if hot.isEmpty():
+        placed = docs.withColumn(bucket, place(F.col(key), zero))
+    else:
+        hot = stage(hot, "hot")
+        some = likely(hot, key)
+        split = numbered(docs.where(some).join(hot, key), [key, tie], rank, (key,)).withColumn(salt, F.floor((F.col(rank) - 1) / F.col(per)).cast("long"))
+        split = stage(split.withColumn(bucket, place(F.col(key), F.col(salt))).select(*columns, key, tie, bucket), "split")
+        rest = docs.where(~some).union(docs.where(some).join(hot, key, "left_anti").select(docs.columns)).withColumn(bucket, place(F.col(key), zero))
+        placed = rest.select(*columns, key, tie, bucket).union(split)
+        counts = keys.join(hot.withColumnRenamed(key, "key"), "key", "left_anti").select(place(F.col("key"), zero).alias("bucket"), "n").union(split.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")))
+    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows_of = np.zeros(buckets, dtype=np.int64)
+    rows_of[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    before = spark.sparkContext.broadcast(np.cumsum(rows_of) - rows_of)  # the rows in earlier buckets
     small, extra = divmod(total, shards)  # the first ``extra`` shards hold a row more
     firsts = np.cumsum([0] + [small + (s < extra) for s in range(shards)])
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name in columns), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-
-    @F.pandas_udf("int")
-    def bucket(place):
-        import pandas as pd
 
-        return pd.Series(np.searchsorted(ends.value[0], place.to_numpy(), "right") - 1).astype("int32")
+    def shuffled(t):
+        """One bucket in shuffled order, with shard and slot."""
+        b = t.column(bucket)[0].as_py()
+        own = np.lexsort((t.column(tie).to_numpy(), t.column(key).to_numpy())).tolist()
+        swap = (np.random.default_rng([seed, b]).random(len(own)) * np.arange(1, len(own) + 1)).astype(np.int64).tolist()
+        for i in range(len(own) - 1, 0, -1):  # Fisher-Yates: row i changes places with one of 0 to i
+            j = swap[i]
+            own[i], own[j] = own[j], own[i]
+        at = int(before.value[b]) + np.arange(len(own))
+        shard = np.searchsorted(firsts, at, "right") - 1
+        out = t.select(columns).take(pa.array(own, pa.int64()))
+        return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - firsts[shard]))
 
     def f(batches):
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        rows = pa.Table.from_batches(kept)  # one bucket, of about bucket_bytes
-        at = rows.column("_bucket").to_numpy()
-        order = np.lexsort((rows.column("_tie").to_numpy(), rows.column("_key").to_numpy(), at))
-        marks = np.flatnonzero(np.diff(at[order], prepend=-1))
-        for a, z in zip(marks, [*marks[1:], len(order)]):
-            own, b = order[a:z].copy(), int(at[order[a]])
-            rng = np.random.default_rng([seed, b])
-            swap = (rng.random(len(own)) * np.arange(1, len(own) + 1)).astype(np.int64)  # Fisher-Yates: row i changes places with one of 0 to i
-            own = own.tolist()
-            for i in range(len(own) - 1, 0, -1):
-                j = int(swap[i])
-                own[i], own[j] = own[j], own[i]
-            place = int(ends.value[1][b]) + np.arange(len(own))
-            shard = np.searchsorted(firsts, place, "right") - 1
-            out = rows.select(columns).take(pa.array(own))
-            out = out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(place - firsts[shard]))
-            yield from out.to_batches(max_chunksize=2000)
-
-    docs = docs.withColumn("_bucket", bucket(F.col("_cell").cast("long") * F.lit(1 << 32) + F.col("_salt"))).withColumn("_tie", F.xxhash64(*columns))
+        kept, now = [], None
+        for b in batches:
+            while b.num_rows:
+                ids = b.column(b.schema.get_field_index(bucket)).to_numpy()
+                if now is not None and ids[0] != now:
+                    yield from shuffled(pa.Table.from_batches(kept)).to_batches(max_chunksize=2000)
+                    kept = []
+                now = ids[0]
+                other = np.flatnonzero(ids != now)
+                end = int(other[0]) if len(other) else b.num_rows
+                kept.append(b.slice(0, end))
+                b = b.slice(end)
+        if kept:
+            rows, kept = pa.Table.from_batches(kept), None
+            yield from shuffled(rows).to_batches(max_chunksize=2000)
+
     path = path or work_path(spark, "shards")
-    docs.repartitionById(max(1, len(bounds)), F.col("_bucket")).drop("_cell", "_salt").mapInArrow(K.tidy(f), schema).write.partitionBy("shard").parquet(path)
-    if not total:
-        return spark.createDataFrame([], schema)
+    tasks = min(buckets, TASKS)
+    # a task's buckets come one after another
+    placed = placed.repartitionById(tasks, F.pmod(F.col(bucket), F.lit(tasks)).cast("int"))
+    if tasks < buckets:
+        placed = placed.sortWithinPartitions(bucket)
+    placed.mapInArrow(K.tidy(f), schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def op5_external_shuffle(spark, sf_dir):
+    """All documents in eight shards, in shuffled order."""
     out = external_shuffle(table(spark, sf_dir, "documents"), 8)
     return out.select(
         "doc_id", (_size("text") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -26,34 +26,40 @@ def vectors(rng, n):
         if i % 11 == 0:
             v = [0.25, -0.5, 0.125, 0.0, 1.0, 0.5]  # ties
         out.append((i, v))
-    return out + [(1000, None), (1001, [0.1, None, 0.2]), (1050, [float("nan")] * 6), (1002, [float("inf")] * 6), (1003, []), (1100, [0.5, 0.5]), (None, [1.0] * 6), (7, [9.0] * 6), (1004, [1e30] * 6)]
+    return out + [(1000, None), (1001, [0.1, None, 0.2]), (1050, [float("nan")] * 6), (1002, [float("inf")] * 6), (1003, []), (1100, [0.5, 0.5]), (None, [1.0] * 6), (7, [9.0] * 6), (7, [9.0] * 6), (25, [0.5] * 6)]
+
+
+LARGE = [(1004, [1e30] * 6), (1025, [-1e30, 1e30, 0.0, 0.0, 1.0, 1.0]), (1005, [3e5] * 6), (1075, [3e5, -3e5, 1.0, 0.0, 0.0, 2e5]), (1006, [1e7] * 6), (1150, [-4e6] * 6), (1007, [1.7e308, -1.7e308, 0.0, 0.0, 0.0, 0.0])]
 
 
 def top_brute(rows, k, ask):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(c is None or not math.isfinite(c) or abs(c) >= 2**18 for c in v):
-            continue
-        q = [math.floor(256 * c) for c in v]
-        best[i] = max(best.get(i, q), q)
+    rows = [(i, mtree.numbers(v)) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for i, q in best.items():
+    for r, (i, q) in enumerate(rows):
         if ask(i):
-            scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in best.items() if j != i)
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+            scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, x)))), j) for s, (j, x) in enumerate(rows) if s != r]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [(8192, 2048, 96), (40, 3, 4)])
-def test_top_k(spark, monkeypatch, sizes):
-    for name, v in zip(("PART_ROWS", "QUERY_ROWS", "LEAF"), sizes):
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("sizes", [(32 << 20, 4096, 256), (40 * 48, 3, 4)])
+def test_top_k(spark, monkeypatch, sizes, large):
+    for name, v in zip(("PART_BYTES", "QUERY_ROWS", "LEAF"), sizes):
         monkeypatch.setattr(mtree, name, v)
-    rows = vectors(random.Random(1), 300)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0))
+    rows = vectors(random.Random(1), 300) + LARGE * large
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumns({c: F.lit(0) for c in ("score", "rid", "x", "norm", "pivot", "part", "id")})
     got = sorted(tuple(r) for r in mtree.top_k(df, lambda i: i % 25 == 0).collect())
     assert got == top_brute(rows, 5, lambda i: i % 25 == 0)
 
 
+def test_numbers_are_exact():
+    from fractions import Fraction
+
+    for c in (0.0, -0.001, 0.001, 1 / 3, -7.7, 2.0**53 + 2, -3e17, 1e300, 5e-324):
+        assert mtree.numbers([c]) == [math.floor(Fraction(c) * 256)]
+
+
 def test_top_k_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert mtree.top_k(spark.createDataFrame([], schema), lambda i: i % 50 == 0).count() == 0
@@ -65,27 +71,25 @@ def test_top_k_of_few(spark):
 def test_tree_bounds_hold_and_spare_work():
     rng = np.random.default_rng(0)
     x = np.floor(256 * np.concatenate([c + 0.05 * rng.standard_normal((200, 4)) for c in rng.standard_normal((8, 4))]))
-    norm = (x**2).sum(axis=1)
-    lift = norm.max()
-    tree = mtree.Tree(mtree._lifted(x, norm, lift), leaf=16)
-    pages = {i: p for i, p in enumerate(tree.pages)}
+    tree = mtree.Tree(x, leaf=16)
 
     def below(at):
-        _, leaf, rows, _, _, kids = pages[at]
+        _, leaf, rows, _, _, kids = tree.pages[at]
         return set(rows.tolist()) if leaf else set().union(*(below(k) for k in kids))
 
     assert below(0) == set(range(len(x)))
     for parent, leaf, rows, dist, radius, kids in tree.pages:
         if parent >= 0:
-            assert np.allclose(dist, np.linalg.norm(tree.x[rows] - tree.x[parent], axis=1))
+            assert np.allclose(dist, np.linalg.norm(x[rows] - x[parent], axis=1))
         for r, rad, kid in zip(rows, radius, kids):
             if not leaf:
-                assert max(np.linalg.norm(tree.x[sorted(below(kid))] - tree.x[r], axis=1)) <= rad + 1e-9
-    q, work = x[5], []
-    found, computed = mtree.search(pages, x, np.arange(len(x)), lambda r: x[r] @ q, q, norm[5], lift, 5, 5, -np.inf)
-    work.append(computed)
-    assert sorted((-s, i) for s, i in found) == sorted((-(v @ q), i) for i, v in enumerate(x) if i != 5)[:5]
-    assert max(work) < len(x) / 2
+                assert max(np.linalg.norm(x[sorted(below(kid))] - x[r], axis=1)) <= rad + 1e-9
+    own = np.arange(0, len(x), 100)
+    for wide in (False, True):
+        at, score, found, computed = mtree.search(tree.pages, x, np.arange(len(x)), np.arange(len(x)), x[own], own, np.full(len(own), -(1 << 63)), 5, wide)
+        for i, q in enumerate(own):
+            assert sorted((-s, j) for a, s, j in zip(at, score, found) if a == i) == sorted((-(v @ x[q]), j) for j, v in enumerate(x) if j != q)[:5]
+        assert computed < len(x) * len(own) / 2
 
 
 # 5
@@ -98,22 +102,48 @@ def documents(rng, n=400):
 
 
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 3000])
-def test_shards(spark, bucket_bytes):
+def test_shards(spark, monkeypatch, bucket_bytes):
     rows = documents(random.Random(2))
-    df = spark.createDataFrame(rows, DOC).repartition(3)
-    out = [sharding.external_shuffle(df.withColumn("slot", F.lit("x")), 8, bucket_bytes=bucket_bytes).collect() for _ in range(2)]
-    got = [[(r.shard, r.slot, r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in o] for o in out]
+    clash = {c: F.lit("x") for c in ("slot", "_key", "key", "_tie", "tie", "_bucket", "bucket", "rank", "salt", "per", "part", "_cell")}
+    df = spark.createDataFrame(rows, DOC).withColumns(clash).withColumn("map", F.create_map(F.lit(1), F.lit(2)))
+    got = []
+    for parts, tasks in ((3, 50_000), (7, 50_000), (1, 2)):  # whatever the partitions and tasks, the shards are the same
+        monkeypatch.setattr(sharding, "TASKS", tasks)
+        out = sharding.external_shuffle(df.repartition(parts), 8, bucket_bytes=bucket_bytes).collect()
+        assert {(r._key, r.bucket, r.map[1]) for r in out} == {("x", "x", 2)}
+        got.append([(r.shard, r.slot, r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out])
     key = lambda r: (r[0], r[1])
     assert Counter(r[2:] for r in got[0]) == Counter(rows)  # all rows, whole
     sizes = Counter(r[0] for r in got[0])
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s, n in sizes.items():
         assert sorted(r[1] for r in got[0] if r[0] == s) == list(range(n))
-    assert sorted(got[0], key=key) == sorted(got[1], key=key)  # reruns agree
+    assert sorted(got[0], key=key) == sorted(got[1], key=key) == sorted(got[2], key=key)
     order = [r[2] for r in sorted(got[0], key=key) if r[2] not in (None, 3)]
     assert order != sorted(order) and abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.25
 
 
+def test_shards_by_a_plain_list(spark):
+    """The same sequence made by hand: the rows of each bucket in order of their hashes, shuffled by swaps, one bucket after another."""
+    rows, seed, size, shards = [(i, f"text {i} " * (i % 5), "en", "s", i) for i in range(200)], 5, 2000, 3
+    df = spark.createDataFrame(rows, DOC)
+    hashed = df.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), (F.octet_length("text") + 64).alias("bytes"))
+    held = hashed.agg(F.sum("bytes")).first()[0]
+    n = -(-held // size)
+    placed = hashed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key", F.lit(0).cast("long")), F.lit(n))).collect()
+    sequence = []
+    for b in range(n):
+        own = [r.doc_id for r in sorted((r for r in placed if r.bucket == b), key=lambda r: r.key)]
+        draw = np.random.default_rng([seed, b]).random(len(own))
+        for i in range(len(own) - 1, 0, -1):
+            j = int(draw[i] * (i + 1))
+            own[i], own[j] = own[j], own[i]
+        sequence += own
+    ends = [67, 134, 200]
+    want = {(k, i - ([0] + ends)[k]): d for i, d in enumerate(sequence) for k in [sum(i >= e for e in ends)]}
+    assert {(r.shard, r.slot): r.doc_id for r in sharding.external_shuffle(df.repartition(4), shards, seed, bucket_bytes=size).collect()} == want
+
+
 def test_shards_of_nothing(spark):
     out = sharding.external_shuffle(spark.createDataFrame([], DOC))
     assert out.count() == 0 and {"shard", "slot"} <= set(out.columns)
@@ -219,11 +249,51 @@ def test_mix(spark):
     assert sorted((r.doc_id, r.copies) for r in out) == sorted((r.doc_id, r.copies) for r in again)
 
 
-def test_mix_in_buckets_stays_near(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), "en", rng.choice("ab"), 1) for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, DOC), bucket_rows=100).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.max("target").alias("g")).collect()
-    assert all(abs(r.t - r.g) / r.g < 0.02 for r in out)
+def test_mix_is_its_sql_for_large_sources(spark, tmp_path):
+    import duckdb
+
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "repeat('w ', int(pmod(xxhash64(id), 50))) AS text", "'en' AS lang", "CASE WHEN id % 10 < 8 THEN 'hot' WHEN id % 10 = 8 THEN 'b' END AS source", "1L AS n_chars")
+    docs.repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(mixing.SQL).fetchall())
+    got = sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.op9_entropy_balancing(spark, str(tmp_path)).collect())
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all(math.isclose(g[3], w[3], rel_tol=1e-12) for g, w in zip(got, want))
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    from lexigrove.llm.common import numbered
+
+    rows = [(random.Random(i).choice("abc") if i % 7 else None, i % 13, i) for i in range(700)]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    number, seen = {}, Counter()
+    for r in want:
+        seen[r[0]] += 1
+        number[r[2]] = seen[r[0]]
+    for n in (1, 9):
+        df = spark.createDataFrame(rows, "g string, k int, i int").repartition(n).withColumns({"part": F.lit(0), "first": F.lit(1)})
+        assert {r.i: r.no for r in numbered(df, ["g", "k", "i"], "no", ("g",)).collect()} == number
+        assert sorted(r.no for r in numbered(df, ["k", "i"], "no").collect()) == list(range(1, 701))
+    assert numbered(df.limit(0), ["k"], "no").count() == 0
+
+
+def test_goals_that_contradict_raise(spark):
+    cells = spark.createDataFrame([("a", "en", 10.0), ("b", "fr", 10.0)], "source string, lang string, tokens double")
+    goals = {"source": spark.createDataFrame([("a", 15.0), ("b", 5.0)], "source string, target double"), "lang": spark.createDataFrame([("en", 5.0), ("fr", 15.0)], "lang string, target double")}
+    with pytest.raises(RuntimeError, match="contradict"):
+        mixing.balance(cells, goals, max_rounds=5)
+
+
+def test_expand_keeps_columns_of_any_name(spark):
+    rows = [(i, "a b c", "en", "s", 1) for i in range(4)] + [(9, "x y", "en", "t", 1), (9, "x y", "fr", "t", 2), (None, None, None, None, None)]
+    names = ("_copies", "_text", "copies", "rows", "mark", "number", "i", "s", "m", "rank", "tie", "size", "target")
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).withColumn("map", F.create_map(F.lit("k"), F.col("lang")))
+    out = [mixing.expand(df.repartition(n)) for n in (1, 5)]
+    assert out[0].columns == df.columns
+    found = [sorted(map(str, o.collect())) for o in out]
+    assert found[0] == found[1]
+    assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in out[0].collect() for c in names)
 
 
 def test_mix_of_nothing_and_of_repeats(spark):
