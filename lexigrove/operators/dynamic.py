@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.workdir import written
 from . import filters as P
-from .index import Index, dictionary_of, postings_of, stats_of
+from .index import Index, dictionary_of, forward_of, postings_of, stats_of
 
-DEPTH = 8  #: levels of nesting whose strings are indexed
+DEPTH = 8  #: levels of nesting that are walked in one plan; if there are more, as many again
 
 
 def strings(rows: DataFrame, key: str = "doc_id", doc: str = "doc", depth: int = DEPTH) -> DataFrame:
-    """(key, path, value): all strings in the variant column, nested ones too; path keeps the order of the document."""
+    """(key, path, value): all strings in the variant column, nested to any depth; path keeps the order of the document.
+
+    Each ``depth`` levels what is still nested is written down, and the walk goes on from there while there is any.
+    """
     rows = rows.where(F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.array().cast("array<long>").alias("_path"), F.col(doc).alias("_v"))
     spark = rows.sparkSession
-    found = None
-    for _ in range(depth + 1):
+    found, levels = None, 0
+    while True:
         own = rows.where(F.schema_of_variant("_v") == "STRING").select("_key", "_path", F.variant_get("_v", "$", "string").alias("value"))
         found = own if found is None else found.union(own)
         nested = rows.where(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)"))
         rows = spark.sql("SELECT _key, concat(_path, array(CAST(pos AS BIGINT))) AS _path, value AS _v FROM {r}, LATERAL variant_explode(_v)", r=nested)
+        levels += 1
+        if levels % depth == 0:
+            rows = written(rows, "nested")
+            if rows.isEmpty():
+                break
     return found.select(F.col("_key").alias(key), F.col("_path").alias("path"), "value")
 
 
@@ -36,7 +45,7 @@ def build(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", depth:
     rows = docs.join(grams, "doc_id", "left").withColumn("n_trigrams", F.coalesce(F.size("_g"), F.lit(0)))
     postings = postings_of(grams, F.col("_g"))
     documents = rows.drop("_g")
-    return Index(documents, postings, dictionary_of(postings), stats_of(documents), None, ("doc",))
+    return Index(documents, postings, dictionary_of(postings), stats_of(documents), None, ("doc",), forward_of(grams, F.col("_g")))
 
 
 _KINDS = [("STRING", "string", T.StringType()), ("BIGINT", "long", T.LongType()), ("DOUBLE", "double", T.DoubleType()), ("BOOLEAN", "boolean", T.BooleanType())]

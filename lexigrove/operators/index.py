@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +43,10 @@ def document_trigrams(schema: T.StructType, fields: list[str] | None = None) ->
 @dataclass
 class Index:
     """documents (doc_id, fields, n_trigrams), postings (trigram, doc_id), dictionary (trigram, df),
-    stats (n, trigram_sum; one row) and tombstones (doc_id) or None.
+    stats (n, trigram_sum; one row), tombstones (doc_id) or None, and forward (doc_id, n_trigrams, grams: ordinals).
 
-    Dictionary and statistics count deleted documents until compaction.
+    Dictionary and statistics count deleted documents until compaction.  An index doesn't change, so what
+    is looked up of these two is kept: one number for each trigram, of which there are at most 50,653.
     """
 
     documents: DataFrame
@@ -54,15 +55,40 @@ class Index:
     stats: DataFrame
     tombstones: DataFrame | None = None
     fields: tuple[str, ...] = ()
+    forward: DataFrame | None = None
+    seen: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.forward is None:
+            grams = self.postings.groupBy("doc_id").agg(F.collect_list(X.ordinal(F.col("trigram")).cast("int")).alias("grams"))
+            self.forward = grams.select("doc_id", F.size("grams").alias("n_trigrams"), "grams")
 
     def with_tombstones(self, tombstones: DataFrame) -> Index:
-        return Index(self.documents, self.postings, self.dictionary, self.stats, tombstones, self.fields)
+        return Index(self.documents, self.postings, self.dictionary, self.stats, tombstones, self.fields, self.forward, self.seen)
+
+    def corpus(self) -> tuple[int, float]:
+        """(documents, at least 1; average of their trigrams)."""
+        if None not in self.seen:
+            n, total = self.stats.select("n", "trigram_sum").first()
+            self.seen[None] = (max(1, n), total / n if n else 0.0)
+        return self.seen[None]
+
+    def frequencies(self, trigrams: list[str]) -> dict[str, int]:
+        """The document frequencies of those trigrams that the index has."""
+        if new := [t for t in trigrams if t not in self.seen]:
+            rows = self.dictionary.where(F.col("trigram").isin(new)) if len(new) <= 4096 else self.dictionary
+            self.seen.update(dict.fromkeys(new, 0) | {r["trigram"]: r["df"] for r in rows.collect()})
+        return {t: self.seen[t] for t in trigrams if self.seen[t]}
 
 
 def postings_of(documents: DataFrame, trigrams: Column) -> DataFrame:
     return documents.select("doc_id", F.explode(trigrams).alias("trigram")).select("trigram", "doc_id")
 
 
+def forward_of(documents: DataFrame, trigrams: Column) -> DataFrame:
+    return documents.select("doc_id", F.size(trigrams).alias("n_trigrams"), F.transform(trigrams, lambda t: X.ordinal(t).cast("int")).alias("grams"))
+
+
 def dictionary_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("trigram").agg(F.count("*").alias("df"))
 
@@ -83,4 +109,4 @@ def build(df: DataFrame, id_col: str = "doc_id", text_cols: list[str] | None = N
     with_grams = keep(with_grams) if keep else with_grams
     counted = with_grams.withColumn("n_trigrams", F.size("_trigrams")).drop("_trigrams")
     postings = postings_of(with_grams, F.col("_trigrams"))
-    return Index(counted, postings, dictionary_of(postings), stats_of(counted), None, tuple(text_cols or fields))
+    return Index(counted, postings, dictionary_of(postings), stats_of(counted), None, tuple(text_cols or fields), forward_of(with_grams, F.col("_trigrams")))

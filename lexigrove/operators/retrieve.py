@@ -1,8 +1,8 @@
 """Retrieval: candidates by shared trigrams, adaptive intersection or union, filtered top-k, and BM25.
 
-Queries are a table of trigrams, so one plan serves one query or many.  The order of candidates is
-(hits descending, rank of the rarest trigram that a document was found by, doc_id); BM25 then orders
-the few that are left.
+The order of candidates is (hits descending, rank of the rarest trigram that a document was found by,
+doc_id); BM25 then orders the few that are left.  A single query reads the postings of its trigrams, once,
+and documents only for filters and for the rows it returns; many queries are scored in blocks (batch.py).
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 
 from ..functions import analyze as A
 from ..functions import text as X
+from ..sources.workdir import written
+from . import batch
 from . import score as S
 from .filters import condition
 from .highlight import highlights
 from .index import Index
 
 MAX_CANDIDATES = 5000
-SMALL_QUERY = 4096  #: trigrams up to which a literal query's table is sent to every executor
+SMALL_QUERY = 4096  #: trigrams of a query up to which they reach the scan of the postings as a filter
+SMALL_RESULT = 100_000  #: rows of a result (ids and numbers) up to which they are sent to every executor
 
 
 def query_table(spark, queries: dict[int, str]) -> DataFrame:
@@ -79,54 +82,47 @@ def _order(*first: Column) -> list[Column]:
     return [*first, F.desc("hits"), F.col("min_trank").asc(), F.col("doc_id").asc()]
 
 
-def top(found: DataFrame, index: Index, limit: int, filters: dict | None = None) -> DataFrame:
-    """The first ``limit`` candidates of each query that pass the filters, with their documents."""
-    docs = index.documents.where(condition(filters, index.documents.schema))
-    joined = found.join(docs, "doc_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
-    return joined.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+def top(found: DataFrame, index: Index, limit: int, k: int, filters: dict | None = None) -> DataFrame:
+    """The first ``limit`` candidates (doc_id, hits, min_trank, ...) of one query of k trigrams that pass the filters.
+
+    As documents with all trigrams come first in the order, the adaptive choice between intersection and
+    union only asks whether there are ``limit`` of them, and drops what follows.
+    """
+    if not filters:
+        return found.orderBy(*_order()).limit(limit)
+    docs = index.documents.where(condition(filters, index.documents.schema)).select("doc_id")
+    full = found.agg(F.count_if(F.col("hits") == k).alias("_full"), F.min("min_trank").alias("_lo"), F.max("_weight").alias("_hi"))
+    kept = found.join(docs, "doc_id").orderBy(*_order()).limit(limit)
+    some = F.col("_lo").isNotNull() | F.col("_hi").isNotNull()  # always so; as both sides use the same columns, one scan and shuffle serves both
+    return kept.crossJoin(F.broadcast(full)).where(some & ((F.col("_full") < limit) | (F.col("hits") == k))).drop("_full", "_lo", "_hi")  # one row
 
 
-def _corpus(index: Index) -> DataFrame:
-    return index.stats.select(F.greatest(F.lit(1), F.col("n")).cast("double").alias("_n"), F.when(F.col("n") > 0, F.col("trigram_sum") / F.col("n")).otherwise(0.0).alias("_avg"))
+def _fetch(kept: DataFrame, index: Index, rows: int) -> DataFrame:
+    """kept with its documents, which are read for these rows only; rows: how many there may be."""
+    return (F.broadcast(kept) if rows <= SMALL_RESULT else kept).join(index.documents.drop("n_trigrams") if "n_trigrams" in kept.columns else index.documents, "doc_id")
 
 
-def rank_global(kept: DataFrame, index: Index, entries: DataFrame, literal: list[str] | None = None) -> DataFrame:
-    """kept with score: the terms of all trigrams that query and document share, uncapped."""
-    postings = index.postings if literal is None else index.postings.where(F.col("trigram").isin(literal)) if literal else index.postings.limit(0)
-    terms = postings.join(entries.select("query_id", "trigram", "df"), "trigram").join(kept.select("query_id", "doc_id", "n_trigrams"), ["query_id", "doc_id"])
-    terms = terms.crossJoin(F.broadcast(_corpus(index)))  # one row
-    summed = terms.groupBy("query_id", "doc_id").agg(
-        F.sum(S.term(S.idf(F.col("_n"), F.col("df")), S.norm(F.col("n_trigrams"), F.col("_avg")))).alias("_sum"), F.max(S.score_max(F.col("_n"))).alias("_max")
-    )
-    summed = summed.select("query_id", "doc_id", S.scaled(F.col("_sum"), F.col("_max")).alias("score"))
-    return kept.join(summed, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def _scored(weight: Column, length: Column, index: Index) -> Column:
+    """The score of a document by the sum of its trigrams' idf."""
+    n, average = index.corpus()
+    return F.coalesce(S.scaled(S.term(weight, S.norm(length, F.lit(average))), S.score_max(F.lit(float(n)))), F.lit(0.0))
 
 
-def rank_boosted(kept: DataFrame, index: Index, entries: DataFrame, boosts: dict[str, float]) -> DataFrame:
+def rank_boosted(kept: DataFrame, index: Index, entries: DataFrame, boosts: dict[str, float], single: bool = False) -> DataFrame:
     """kept with score: the mean of its string fields' scores, weighted by boosts (1 for fields not named)."""
-    idfs = entries.crossJoin(F.broadcast(_corpus(index))).groupBy("query_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("trigram", S.idf(F.col("_n"), F.col("df"))))).alias("_idfs"), F.max("_avg").alias("_avg"), F.max(S.score_max(F.col("_n"))).alias("_max")
-    )
-    rows = kept.join(idfs, "query_id")
+    n, average = index.corpus()
+    idfs = entries.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("trigram", S.idf(F.lit(float(n)), F.col("df"))))).alias("_idfs"))
+    rows = kept.join(F.broadcast(idfs) if single else idfs, "query_id")
     strings = [f.name for f in index.documents.schema.fields if isinstance(f.dataType, T.StringType)]
     total, weight = F.lit(0.0), F.lit(0.0)
     for i, name in enumerate(strings):
         rows = rows.withColumn(f"_t{i}", X.tokenize(F.col(f"`{name}`")))
         boost, size = float(boosts.get(name, 1.0)), F.size(f"_t{i}")
-        own = S.field_score(F.col(f"_t{i}"), F.col("_idfs"), S.norm(size, F.col("_avg")))
-        total = total + F.when(size > 0, own / F.col("_max") * F.lit(boost)).otherwise(0.0)
+        own = S.field_score(F.col(f"_t{i}"), F.col("_idfs"), S.norm(size, F.lit(average)))
+        total = total + F.when(size > 0, own / S.score_max(F.lit(float(n))) * F.lit(boost)).otherwise(0.0)
         weight = weight + F.when(size > 0, F.lit(boost)).otherwise(0.0)
     out = F.when((weight == 0) | (F.col("n_trigrams") == 0), 0.0).otherwise(F.round(F.least(total / weight * 100.0, F.lit(100.0)), 2))
-    return rows.withColumn("score", out).drop("_idfs", "_avg", "_max", *[f"_t{i}" for i in range(len(strings))])
-
-
-def search_table(index: Index, queries: DataFrame, limit: int = 20, max_candidates: int | None = MAX_CANDIDATES, boosts: dict[str, float] | None = None, filters: dict | None = None, literal: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score, hits, min_trank, fields) for a table of query trigrams."""
-    entries = probe(queries, index.dictionary if literal is None else index.dictionary.where(F.col("trigram").isin(literal)) if literal else index.dictionary.limit(0))
-    found = adaptive(hits(index, entries, max_candidates, literal), limit)
-    kept = top(found, index, limit, filters)
-    return rank_boosted(kept, index, entries, boosts) if boosts else rank_global(kept, index, entries, literal)
+    return rows.withColumn("score", out).drop("_idfs", *[f"_t{i}" for i in range(len(strings))])
 
 
 def _fields(index: Index) -> list[str]:
@@ -135,11 +131,27 @@ def _fields(index: Index) -> list[str]:
 
 def search(index: Index, query: str, limit: int = 20, max_candidates: int | None = MAX_CANDIDATES, boosts: dict[str, float] | None = None, filters: dict | None = None, highlight: bool = False, highlight_options: dict | None = None) -> DataFrame:
     """Documents that match the query, best first: (doc_id, score, hits, fields[, highlights])."""
-    spark = index.documents.sparkSession
+    spark, limit = index.documents.sparkSession, max(0, limit)
     trigrams = A.tokenize(query)
-    literal = trigrams if len(trigrams) <= SMALL_QUERY else None
-    out = search_table(index, query_table(spark, {0: query}), max(0, limit), max_candidates, boosts, filters, literal)
-    out = out.orderBy(*_order(F.desc("score")))
+    df = index.frequencies(trigrams)
+    known = sorted(df, key=df.get)  # of equals the first in the query
+    n, _ = index.corpus()
+    entries = spark.createDataFrame([(0, t, df[t], i + 1) for i, t in enumerate(known)], "query_id long, trigram string, df long, trank int")
+    terms = F.broadcast(entries.select("trigram", "trank", S.idf(F.lit(float(n)), F.col("df")).alias("idf")))
+    postings = index.postings.where(F.col("trigram").isin(known)) if 0 < len(known) <= SMALL_QUERY else index.postings.limit(0) if not known else index.postings
+    capped = max_candidates is not None and max(df.values(), default=0) > max_candidates
+    found = (recent(postings, max_candidates) if capped else postings).where("doc_id IS NOT NULL").join(terms, "trigram")
+    found = found.groupBy("doc_id").agg(F.min("trank").alias("min_trank"), F.sum("idf").alias("_weight"), F.count("*").alias("hits"))
+    if index.tombstones is not None:
+        found = found.join(index.tombstones.select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = top(found, index, limit, len(known), filters)
+    if capped and not boosts:  # weights are of all trigrams shared, capped or not
+        kept = kept.drop("_weight")
+        whole = postings.join(F.broadcast(kept.select("doc_id")) if limit <= SMALL_RESULT else kept.select("doc_id"), "doc_id", "left_semi").join(terms, "trigram")
+        kept = kept.join(whole.groupBy("doc_id").agg(F.sum("idf").alias("_weight")), "doc_id", "left")
+    out = _fetch(kept.withColumn("query_id", F.lit(0).cast("long")), index, limit)
+    out = rank_boosted(out, index, entries, boosts, True) if boosts else out.withColumn("score", _scored(F.col("_weight"), F.col("n_trigrams"), index))
+    out = out.orderBy(*_order(F.desc("score"))).limit(limit)  # as many as there are
     extra = []
     if highlight:
         out = out.withColumn("highlights", highlights(index.documents.select(*_fields(index)).schema, trigrams, **(highlight_options or {})))
@@ -149,6 +161,10 @@ def search(index: Index, query: str, limit: int = 20, max_candidates: int | None
 
 def search_many(index: Index, queries: DataFrame, limit: int = 20, max_candidates: int | None = MAX_CANDIDATES, boosts: dict[str, float] | None = None, filters: dict | None = None, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """All queries of a DataFrame in one plan: (query_id, rank, doc_id, score, hits, fields)."""
-    out = search_table(index, query_table_of(queries, id_col, text_col), limit, max_candidates, boosts, filters)
+    entries = written(probe(query_table_of(queries, id_col, text_col), F.broadcast(index.dictionary)), "entries")  # the dictionary has at most 50,653 rows
+    n, limit = queries.count(), max(0, limit)
+    kept = batch.matches(index, entries, n, limit, max_candidates, filters).withColumnRenamed("weight", "_weight")
+    out = _fetch(kept, index, n * limit)
+    out = rank_boosted(out, index, entries, boosts) if boosts else out.withColumn("score", _scored(F.col("_weight"), F.col("n_trigrams"), index))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(F.desc("score"))))
     return out.select("query_id", rank.alias("rank"), "doc_id", "score", "hits", *_fields(index))

@@ -1,30 +1,37 @@
-"""A stored index: immutable Parquet segments, and a manifest that names those of the current version.
+"""A stored index: immutable Parquet segments, and manifests that name those of each version.
 
-Every commit writes new segment folders and then replaces the manifest in one step, so readers see a
-whole version or the one before, and what a crash leaves behind belongs to no version.  Segments:
-documents (doc_id, fields, n_trigrams), postings (trigram, doc_id; clustered by trigram) and
-tombstones (doc_id).  The dictionary and the statistics are kept per segment and summed.
+Every commit writes new segment folders and then the next manifest, by a rename, so readers see a whole
+version or the one before, and what a crash leaves behind belongs to no version.  Opening takes no lock.  The
+last KEEP versions, and those younger than KEEP_SECONDS, keep their segments, so that what reads them isn't
+disturbed by later commits; commits sweep the rest.  Segments: documents (doc_id, fields, n_trigrams), forward
+(doc_id, n_trigrams, grams), postings (trigram, doc_id; clustered by trigram) and tombstones (doc_id).  The
+dictionary and the statistics are kept per segment and summed.  FAN segments of about one size are merged, from
+what is written down, so that few are left however often documents are added.
 
-The folder is on a file system that driver and executors share.
+The folder is on any file system that driver and executors share.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.index import Index, dictionary_of, document_trigrams, postings_of, stats_of
+from ..operators.index import Index, dictionary_of, document_trigrams, forward_of, postings_of, stats_of
+from .files import Files
 from .lock import Lock
 
-VERSION = 1
+VERSION = 2
+KEEP, KEEP_SECONDS = 3, 600
+FAN = 8
 _KINDS = {
     "postings": "trigram string, doc_id long",
+    "forward": "doc_id long, n_trigrams int, grams array<int>",
     "dictionary": "trigram string, df long",
     "stats": "n long, trigram_sum long",
     "tombstones": "doc_id long",
@@ -33,91 +40,138 @@ _KINDS = {
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None, lock_timeout: float = 5.0):
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
-        self.lock = Lock(os.path.join(path, ".lock"), lock_timeout)
-        if os.path.exists(self._manifest):
+        self.spark, self.files = spark, Files(spark, path)
+        local = self.files.local
+        self.path = local or self.files.base
+        self.lock = Lock(f"{local}/.lock", lock_timeout) if local else Lock(".lock", lock_timeout, files=self.files)
+        if self.files.exists("") and self._versions():
             self._load()
             if schema is not None and schema != self.schema:
                 raise ValueError("the stored index has another schema")
-            with self.lock:
-                self._sweep()
         else:
             if schema is None:
                 raise ValueError(f"{path} has no index; give the schema of its documents")
-            self.state = {"format_version": VERSION, "schema": json.loads(schema.json()), "next_id": 0, "segments": [], "tombstones": [], "n": 0, "deleted": 0}
+            self.files.make()
             with self.lock:
-                self._commit(self.state)
+                if self._versions():  # another was faster
+                    self._load()
+                else:
+                    self.state = {"format_version": VERSION, "version": 0, "schema": json.loads(schema.json()), "next_id": 0, "segments": [], "tombstones": [], "n": 0, "deleted": 0}
+                    self._commit(self.state)
 
-    @property
-    def _manifest(self) -> str:
-        return os.path.join(self.path, "manifest.json")
+    def _versions(self) -> list[int]:
+        return sorted(int(n[9:-5]) for n in self.files.names() if n.startswith("manifest-") and n.endswith(".json"))
 
     @property
     def schema(self) -> T.StructType:
         """The schema of the documents' own fields."""
         return T.StructType.fromJson(self.state["schema"])
 
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.files.read(f"manifest-{version:012d}.json"))
+
     def _load(self) -> None:
-        with open(self._manifest) as f:
-            state = json.load(f)
+        state = self._manifest(self._versions()[-1])
         if state.get("format_version") != VERSION:
             raise ValueError(f"{self.path}: format {state.get('format_version')} isn't {VERSION}")
         self.state = state
 
     def _commit(self, state: dict) -> None:
-        temporary = f"{self._manifest}.{uuid.uuid4().hex}"
-        with open(temporary, "w") as f:
-            json.dump(state, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, self._manifest)
+        state = dict(state) | {"version": state["version"] + 1, "time": time.time()}
+        temporary = f"manifest.{uuid.uuid4().hex}"
+        self.files.write(temporary, json.dumps(state))
+        if not self.files.rename(temporary, f"manifest-{state['version']:012d}.json"):
+            raise OSError(f"{self.path}: version {state['version']} is there already")
         self.state = state
 
     def _sweep(self) -> None:
-        """Deletes what no version refers to."""
-        used = {"manifest.json", ".lock", *self.state["segments"], *self.state["tombstones"]}
-        for name in os.listdir(self.path):
-            if name not in used:
-                full = os.path.join(self.path, name)
-                shutil.rmtree(full, ignore_errors=True) if os.path.isdir(full) else os.remove(full)
-
-    def _segment(self, documents: DataFrame, trigrams) -> str:
-        """Writes documents (doc_id, fields) with their postings as one segment."""
+        """Deletes what no version that is kept refers to."""
+        used, now = {".lock"}, time.time()
+        for i, version in enumerate(reversed(self._versions())):
+            state = self._manifest(version)
+            if i < KEEP or now - state["time"] < KEEP_SECONDS:
+                used |= {f"manifest-{version:012d}.json", *(s["name"] for s in state["segments"]), *state["tombstones"]}
+        for name in self.files.names():
+            if name not in used and not name.endswith(".crc"):
+                self.files.delete(name)
+
+    def _write(self, name: str, rows: DataFrame, forward: DataFrame, postings: DataFrame, stats: DataFrame | None = None, dictionary: DataFrame | None = None) -> None:
+        """Writes the tables of a segment, those that don't need each other at the same time."""
+        at = self.files.path(name)
+
+        def inverted():
+            postings.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{at}/postings")
+            own = dictionary if dictionary is not None else dictionary_of(self.spark.read.schema(_KINDS["postings"]).parquet(f"{at}/postings"))
+            own.write.parquet(f"{at}/dictionary")
+
+        def documents():
+            rows.write.parquet(f"{at}/documents")
+            own = stats if stats is not None else stats_of(self.spark.read.schema(self._documents_schema()).parquet(f"{at}/documents"))
+            own.coalesce(1).write.parquet(f"{at}/stats")
+
+        with ThreadPoolExecutor(3) as pool:
+            for job in [pool.submit(inverted), pool.submit(documents), pool.submit(lambda: forward.write.parquet(f"{at}/forward"))]:
+                job.result()
+
+    def _segment(self, documents: DataFrame, trigrams) -> tuple[str, int]:
+        """Writes documents (doc_id, fields) with their postings as one segment; its name and number of documents."""
         name = f"segment-{uuid.uuid4().hex}"
-        base = os.path.join(self.path, name)
+        analysed = self.files.path(f"{name}/analysed")
         rows = documents.withColumn("_trigrams", trigrams).withColumn("n_trigrams", F.size("_trigrams"))
-        rows.write.parquet(f"{base}/analysed")
-        rows = self.spark.read.parquet(f"{base}/analysed")
-        rows.drop("_trigrams").write.parquet(f"{base}/documents")
-        postings = postings_of(rows, F.col("_trigrams"))
-        postings.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{base}/postings")
-        written = self.spark.read.schema(_KINDS["postings"]).parquet(f"{base}/postings")
-        dictionary_of(written).write.parquet(f"{base}/dictionary")
-        stats_of(self.spark.read.schema(self._documents_schema()).parquet(f"{base}/documents")).write.parquet(f"{base}/stats")
-        shutil.rmtree(f"{base}/analysed", ignore_errors=True)
-        return name
+        rows.write.parquet(analysed)
+        rows = self.spark.read.schema(rows.schema).parquet(analysed)
+        self._write(name, rows.drop("_trigrams"), forward_of(rows, F.col("_trigrams")), postings_of(rows, F.col("_trigrams")))
+        self.files.delete(f"{name}/analysed")
+        return name, self._read("stats", [name], _KINDS["stats"]).first()["n"]
+
+    def _merged(self, state: dict) -> dict:
+        """state with each FAN segments of about one size made one, from the tables that they have."""
+        segments = state["segments"]
+        while True:
+            by: dict[int, list[dict]] = {}
+            for s in segments:
+                size = 0
+                while FAN ** (size + 1) <= s["n"]:
+                    size += 1
+                by.setdefault(size, []).append(s)
+            some = next((v for _, v in sorted(by.items()) if len(v) >= FAN), None)
+            if some is None:
+                return dict(state) | {"segments": segments}
+            names, name = [s["name"] for s in some], f"segment-{uuid.uuid4().hex}"
+            stats, dictionary = self._read("stats", names, _KINDS["stats"]), self._read("dictionary", names, _KINDS["dictionary"])
+            self._write(
+                name, self._read("documents", names, self._documents_schema()), self._read("forward", names, _KINDS["forward"]), self._read("postings", names, _KINDS["postings"]),
+                stats.agg(F.sum("n").alias("n"), F.sum("trigram_sum").alias("trigram_sum")), dictionary.groupBy("trigram").agg(F.sum("df").alias("df")),
+            )
+            segments = [s for s in segments if s not in some] + [{"name": name, "n": sum(s["n"] for s in some)}]
 
     def _read(self, kind: str, names: list[str], schema) -> DataFrame:
-        paths = [os.path.join(self.path, n, kind) if kind != "tombstones" else os.path.join(self.path, n) for n in names]
+        paths = [self.files.path(f"{n}/{kind}" if kind != "tombstones" else n) for n in names]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _documents_schema(self) -> T.StructType:
         return T.StructType([T.StructField("doc_id", T.LongType()), *self.schema.fields, T.StructField("n_trigrams", T.IntegerType())])
 
-    def index(self) -> Index:
-        """The current version as an index; later commits don't touch it."""
-        s = self.state
-        dictionary = self._read("dictionary", s["segments"], _KINDS["dictionary"])
-        stats = self._read("stats", s["segments"], _KINDS["stats"])
-        if len(s["segments"]) > 1:
+    def _index(self, s: dict) -> Index:
+        names = [x["name"] for x in s["segments"]]
+        dictionary = self._read("dictionary", names, _KINDS["dictionary"])
+        stats = self._read("stats", names, _KINDS["stats"])
+        if len(names) > 1:
             dictionary = dictionary.groupBy("trigram").agg(F.sum("df").alias("df"))
         stats = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("trigram_sum"), F.lit(0)).alias("trigram_sum"))
         return Index(
-            self._read("documents", s["segments"], self._documents_schema()), self._read("postings", s["segments"], _KINDS["postings"]), dictionary, stats,
-            self._read("tombstones", s["tombstones"], _KINDS["tombstones"]) if s["tombstones"] else None, tuple(f.name for f in self.schema.fields),
+            self._read("documents", names, self._documents_schema()), self._read("postings", names, _KINDS["postings"]), dictionary, stats,
+            self._read("tombstones", s["tombstones"], _KINDS["tombstones"]) if s["tombstones"] else None, tuple(f.name for f in self.schema.fields), self._read("forward", names, _KINDS["forward"]),
         )
 
+    def index(self) -> Index:
+        """The newest version as an index; later commits don't touch it as long as it is kept."""
+        if (version := self._versions()[-1]) != self.state["version"]:
+            self._load()
+        if getattr(self, "_current", (None,))[0] != version:
+            self._current = version, self._index(self.state)
+        return self._current[1]
+
     def _number(self, df: DataFrame, order: list[str] | None, first: int) -> DataFrame:
         """df with doc_id from ``first`` on: in the order of columns, or as the rows come.
 
@@ -125,9 +179,10 @@ class Store:
         counted first, so that no single task sees them all.
         """
         rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        path = os.path.join(self.path, f"rows-{uuid.uuid4().hex}")
-        rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).write.parquet(path)
-        rows = self.spark.read.parquet(path)
+        path = self.files.path(f"rows-{uuid.uuid4().hex}")
+        rows = rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+        rows.write.parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
         parts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # one row for each partition
         offsets = parts.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
         out = rows.join(F.broadcast(offsets), "_p")
@@ -145,25 +200,24 @@ class Store:
         with self.lock:
             self._load()
             state = dict(self.state)
-            numbered = self._number(self._rows(documents), order, state["next_id"]).select("doc_id", *[f.name for f in self.schema.fields])
-            name = self._segment(numbered, document_trigrams(self.schema))
-            added = self.spark.read.parquet(os.path.join(self.path, name, "documents")).select("doc_id")
-            n = added.count()
-            state |= {"segments": [*state["segments"], name] if n else state["segments"], "next_id": state["next_id"] + n, "n": state["n"] + n}
+            first = state["next_id"]
+            numbered = self._number(self._rows(documents), order, first).select("doc_id", *[f.name for f in self.schema.fields])
+            name, n = self._segment(numbered, document_trigrams(self.schema))
+            state |= {"segments": [*state["segments"], {"name": name, "n": n}] if n else state["segments"], "next_id": first + n, "n": state["n"] + n}
             state |= note or {}
             if remove is not None:
                 self._tombstone(state, remove)
-            self._commit(state)
+            self._commit(self._merged(state))
             self._sweep()
-            return added.orderBy("doc_id") if n else self.spark.createDataFrame([], "doc_id long")
+            return self.spark.range(first, first + n).select(F.col("id").alias("doc_id"))
 
     def _tombstone(self, state: dict, ids: DataFrame) -> None:
         name = f"tombstones-{uuid.uuid4().hex}"
         new = ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
         if state["tombstones"]:
             new = new.join(self._read("tombstones", state["tombstones"], _KINDS["tombstones"]), "doc_id", "left_anti")
-        new.write.parquet(os.path.join(self.path, name))
-        n = self.spark.read.schema(_KINDS["tombstones"]).parquet(os.path.join(self.path, name)).count()
+        new.write.parquet(self.files.path(name))
+        n = self._read("tombstones", [name], _KINDS["tombstones"]).count()
         if n:
             state |= {"tombstones": [*state["tombstones"], name], "deleted": state["deleted"] + n}
 
@@ -185,16 +239,18 @@ class Store:
         return int(100 * self.state["deleted"] / n + 0.5) if n else 0
 
     def compact(self) -> None:
-        """Rewrites everything as one segment without deleted documents; doc_ids stay."""
+        """Rewrites everything as one segment without deleted documents; doc_ids stay.  Nothing is analysed again."""
         with self.lock:
             self._load()
-            index = self.index()
-            docs = index.documents.drop("n_trigrams")
+            index = self._index(self.state)
+            name = f"segment-{uuid.uuid4().hex}"
+            tables = [index.documents, index.forward, index.postings]
             if index.tombstones is not None:
-                docs = docs.join(index.tombstones, "doc_id", "left_anti")
-            name = self._segment(docs.select("doc_id", *[f.name for f in self.schema.fields]), document_trigrams(self.schema))
-            n = self.spark.read.schema(_KINDS["stats"]).parquet(os.path.join(self.path, name, "stats")).first()["n"]
-            self._commit(dict(self.state) | {"segments": [name] if n else [], "tombstones": [], "n": n, "deleted": 0})
+                tables = [t.join(index.tombstones, "doc_id", "left_anti") for t in tables]
+            docs = tables[0].select("doc_id", *[f.name for f in self.schema.fields], "n_trigrams")
+            self._write(name, docs, tables[1].select("doc_id", "n_trigrams", "grams"), tables[2].select("trigram", "doc_id"))
+            n = self._read("stats", [name], _KINDS["stats"]).first()["n"]
+            self._commit(dict(self.state) | {"segments": [{"name": name, "n": n}] if n else [], "tombstones": [], "n": n, "deleted": 0})
             self._sweep()
 
     def reset(self) -> None:

@@ -3,6 +3,7 @@
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,15 +11,24 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: one file of one row group would keep a single core busy.
 

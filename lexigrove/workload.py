@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +51,10 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
         for part, df in (("dictionary", postings.groupBy("trigram").agg(F.count("*").alias("df"))), ("stats", docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_trigrams"), F.lit(0)).cast("long").alias("trigram_sum")))):
             df.write.parquet(f"{base}/{part}")
             parts[part] = spark.read.schema(df.schema).parquet(f"{base}/{part}")
-        _written[key] = Index(docs, postings, parts["dictionary"], parts["stats"], None, index.fields)
+        forward = index.forward
+        forward.write.parquet(f"{base}/forward")
+        forward = spark.read.schema(forward.schema).parquet(f"{base}/forward")
+        _written[key] = Index(docs, postings, parts["dictionary"], parts["stats"], None, index.fields, forward)
     return _written[key]
 
 
@@ -268,7 +270,7 @@ _add(
 def _engine(s, d) -> SearchEngine:
     """An engine over the documents with every seventh deleted, and one of these written again."""
     docs = _table(s, d, "documents").select("doc_id", "text").orderBy("doc_id").select(F.col("doc_id").alias("key"), "text")
-    path = urlparse(shared_dir(s)).path + f"/engine-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/engine-{uuid.uuid4().hex}"
     engine = SearchEngine(s).open(path, "key long, text string")
     ids = engine.insert_bulk(docs, ["key"])
     engine.delete(ids.where("doc_id % 7 = 3"))

@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import analyze as A
-from lexigrove.operators import retrieve
-from lexigrove.operators.index import build
+from lexigrove.operators import batch, retrieve
+from lexigrove.operators.index import Index, build
 
 WORDS = ["red", "green", "blue", "ring", "rings", "widget", "wide", "bolt", "bold", "gear", "plate", "late", "12", "x"]
 
@@ -100,6 +101,51 @@ def test_many_is_one_by_one(spark):
         assert [(r.doc_id, r.score) for r in sorted(many, key=lambda r: r["rank"]) if r.query_id == q] == one
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_many_queries_are_the_simulation(spark, monkeypatch, seed):
+    monkeypatch.setattr(batch, "BLOCK", 2)  # several blocks, passes and products
+    monkeypatch.setattr(batch, "PASS", 2)
+    monkeypatch.setattr(batch, "DOCS", 7)
+    rng = random.Random(100 + seed)
+    docs = corpus(rng)
+    df = spark.createDataFrame([(i, d["name"], d["brand"], d["size"], d["tags"]) for i, d in docs.items()], "doc_id long, name string, brand string, size int, tags array<string>").repartition(3)
+    deleted = set(rng.sample(sorted(docs), rng.choice([0, 6])))
+    index = build(df)
+    if deleted:
+        index = index.with_tombstones(spark.createDataFrame([(i,) for i in deleted], "doc_id long"))
+    queries = ["widget red", "wdget", "bolt", "ring plate 12", "zzz", "x", "gear wide blue", "", "red green blue ring widget bolt gear plate late", None]
+    table = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    for limit, cap, boosts in ((3, 5000, None), (15, 7, {"name": 3.0}), (1, 2, None)):
+        filters, keep = rng.choice([(None, lambda d: True), ({"and": [{"field": "size", "op": ">", "value": 1}]}, lambda d: (d["size"] or 0) > 1)])
+        got = retrieve.search_many(index, table, limit, cap, boosts, filters).collect()
+        for q, text in enumerate(queries):
+            own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+            want = simulate(docs, deleted, text or "", limit, cap, boosts, keep)
+            assert [(r.doc_id, r.hits) for r in own] == [(i, h) for i, _, h in want], (text, limit, cap, boosts)
+            assert all(abs(r.score - w[1]) < 0.011 for r, w in zip(own, want)) and [r["rank"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_plans(spark, tmp_path):
+    """Candidates read postings once and no text; documents' texts are read for the rows that are left only."""
+    df = spark.createDataFrame([(i, f"red {i}", i) for i in range(50)], "doc_id long, name string, size int")
+    index = build(df)
+    parts = {}
+    for name in ("documents", "postings", "dictionary", "stats", "forward"):
+        getattr(index, name).write.parquet(str(tmp_path / name))
+        parts[name] = spark.read.parquet(str(tmp_path / name))
+    index = Index(parts["documents"], parts["postings"], parts["dictionary"], parts["stats"], None, ("name", "size"), parts["forward"])
+    def scans(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return [re.sub("#[0-9]+L?", "", x) for x in re.findall(r"FileScan parquet \[([^]]*)\]", plan)]
+
+    filters = {"and": [{"field": "size", "op": ">", "value": 3}]}
+    assert sorted(scans(retrieve.search(index, "red", 5, filters=filters))) == ["doc_id,name,size,n_trigrams", "doc_id,size", "trigram,doc_id"]
+    assert sorted(scans(retrieve.search(index, "red", 5).select("doc_id", "score"))) == ["doc_id,n_trigrams", "trigram,doc_id"]
+    plan = retrieve.search(index, "red", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(trigram" in plan
+
+
 def test_empty_corpus_and_limits(spark):
     index = build(spark.createDataFrame([], "doc_id long, name string"))
     assert retrieve.search(index, "red").collect() == []

@@ -1,4 +1,6 @@
+import json
 import os
+import socket
 import threading
 import time
 
@@ -6,6 +8,8 @@ import pytest
 
 from lexigrove.operators import facets
 from lexigrove.plans.engine import SearchEngine
+from lexigrove.sources import store
+from lexigrove.sources.files import Files
 from lexigrove.sources.lock import Lock, LockTimeout
 from lexigrove.sources.store import Store
 from lexigrove.streaming.ingest import ingest
@@ -70,14 +74,70 @@ def test_what_a_crash_leaves_is_swept(spark, engine):
     left = os.path.join(engine.store.path, "segment-dead")
     os.makedirs(left)
     again = SearchEngine(spark).open(engine.store.path)
+    assert os.path.exists(left) and names(again.search("red")) == ["red"]  # readers delete nothing
+    again.delete(7)
     assert not os.path.exists(left) and names(again.search("red")) == ["red"]
 
 
-def test_readers_keep_their_version(engine):
+def test_readers_keep_their_version(spark, engine):
     engine.insert({"name": "red"})
-    index = engine.store.index()
+    index, reader = engine.store.index(), SearchEngine(spark).open(engine.store.path)
     engine.insert({"name": "red two"})
-    assert index.documents.count() == 1
+    engine.delete(0)
+    engine.compact()
+    assert [r.name for r in index.documents.collect()] == ["red"] and index.postings.count() == 3
+    assert names(reader.search("red")) == ["red two"]  # the newest
+    engine.reset()
+    assert index.documents.count() == 1 and names(reader.search("red")) == []
+
+
+def test_old_versions_go(engine, monkeypatch):
+    monkeypatch.setattr(store, "KEEP_SECONDS", 0)
+    for i in range(6):
+        engine.insert({"name": f"red {i}"})
+        engine.compact()
+    kept = [n for n in os.listdir(engine.store.path) if n.startswith("segment-")]
+    assert len(kept) <= store.KEEP + 1 and len(engine.store._versions()) <= store.KEEP + 1
+    assert engine.search("red").count() == 6
+
+
+def test_segments_of_a_size_merge(engine, monkeypatch):
+    monkeypatch.setattr(store, "FAN", 3)
+    for i in range(10):
+        assert engine.insert({"name": f"red {i}"}) == i
+    assert sorted(s["n"] for s in engine.store.state["segments"]) == [1, 9]
+    engine.delete(4)
+    assert engine.search("red").count() == 9 and engine.store.index().corpus()[0] == 10
+    assert sorted(r.doc_id for r in engine.store.index().forward.collect()) == list(range(10))
+
+
+def test_opening_during_a_write(spark, engine):
+    engine.insert({"name": "red"})
+    with engine.store.lock:
+        reader = SearchEngine(spark).open(engine.store.path, lock_timeout=0.1)
+        assert names(reader.search("red")) == ["red"] and reader.count() == 1
+        with pytest.raises(LockTimeout):
+            reader.delete(0)
+
+
+def test_other_file_systems(spark, tmp_path, monkeypatch):
+    """What a file system without directories of its own on this machine takes: its lock is a file."""
+    monkeypatch.setattr(Files, "local", None)
+    engine = SearchEngine(spark).open(f"file://{tmp_path}/index", SCHEMA, lock_timeout=0.2)
+    assert engine.insert_bulk([{"name": "red"}, {"name": "blue"}]) == [0, 1]
+    engine.update(1, {"name": "red two"})
+    engine.compact()
+    assert sorted(names(engine.search("red"))) == ["red", "red two"]
+    other = SearchEngine(spark).open(f"file://{tmp_path}/index", lock_timeout=0.2)
+    with engine.store.lock:
+        with pytest.raises(LockTimeout):
+            other.delete(0)
+        engine.store.files.write(".lock", "999999999\nsome-other-host\n")  # not ours to judge
+        with pytest.raises(LockTimeout):
+            other.delete(0)
+        engine.store.files.write(".lock", f"999999999\n{socket.gethostname()}\n")  # a dead owner's
+        other.delete(0)
+    assert other.count() == 1
 
 
 def test_closed_and_bad_indexes(spark, tmp_path, engine):
@@ -85,12 +145,11 @@ def test_closed_and_bad_indexes(spark, tmp_path, engine):
         Store(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         SearchEngine(spark).open(engine.store.path, "other string")
-    path = engine.store._manifest
-    text = open(path).read()
-    open(path, "w").write(text.replace('"format_version": 1', '"format_version": 9'))
+    files, state = engine.store.files, engine.store.state
+    files.write("manifest-000000000009.json", json.dumps(state | {"format_version": 9}))
     with pytest.raises(ValueError):
         SearchEngine(spark).open(engine.store.path)
-    open(path, "w").write(text)
+    files.delete("manifest-000000000009.json")
     engine.close()
     engine.close()
     with pytest.raises(RuntimeError):
@@ -115,6 +174,13 @@ def test_lock(tmp_path):
     open(os.path.join(path, "pid"), "w").write("999999999")
     with Lock(path, 0.5):  # a dead owner's
         pass
+    os.mkdir(path)
+    open(os.path.join(path, "pid"), "w").write("999999999\nelsewhere\n")
+    with pytest.raises(LockTimeout):  # another host's, which may be alive
+        Lock(path, 0.2).acquire()
+    open(os.path.join(path, "pid"), "w").write(f"{os.getpid()}\n{socket.gethostname()}\n1")
+    with Lock(path, 0.5):  # a process of this number began at another time
+        pass
 
 
 def test_stream(spark, engine, tmp_path):
