@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import kernel as K
 from .common import fresh, likely, numbered, row_hash, stage, table, without, work_path
 
-BUCKET_BYTES = 24 << 20  #: bytes of text, and 64 a row, that a bucket holds on average
+BUCKET_BYTES = 12 << 20  #: bytes of text, and 64 a row, that a bucket holds on average
 TASKS = 50_000  #: tasks of pass two at most; beyond it, a task takes several buckets, one after another
 
 
@@ -71,8 +71,10 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, path: str
     small, extra = divmod(total, shards)  # the first ``extra`` shards hold a row more
     firsts = np.cumsum([0] + [small + (s < extra) for s in range(shards)])
 
-    def shuffled(t):
-        """One bucket in shuffled order, with shard and slot."""
+    def shuffled(kept):
+        """One bucket in shuffled order, with shard and slot; takes the batches out of the list, so that they aren't held twice."""
+        t = pa.Table.from_batches(kept)
+        kept.clear()
         b = t.column(bucket)[0].as_py()
         own = np.lexsort((t.column(tie).to_numpy(), t.column(key).to_numpy())).tolist()
         swap = (np.random.default_rng([seed, b]).random(len(own)) * np.arange(1, len(own) + 1)).astype(np.int64).tolist()
@@ -81,7 +83,7 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, path: str
             own[i], own[j] = own[j], own[i]
         at = int(before.value[b]) + np.arange(len(own))
         shard = np.searchsorted(firsts, at, "right") - 1
-        out = t.select(columns).take(pa.array(own, pa.int64()))
+        out = t.select(columns).combine_chunks().take(pa.array(own, pa.int64()))
         return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - firsts[shard]))
 
     def f(batches):
@@ -90,16 +92,14 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, path: str
             while b.num_rows:
                 ids = b.column(b.schema.get_field_index(bucket)).to_numpy()
                 if now is not None and ids[0] != now:
-                    yield from shuffled(pa.Table.from_batches(kept)).to_batches(max_chunksize=2000)
-                    kept = []
+                    yield from shuffled(kept).to_batches(max_chunksize=500)
                 now = ids[0]
                 other = np.flatnonzero(ids != now)
                 end = int(other[0]) if len(other) else b.num_rows
                 kept.append(b.slice(0, end))
                 b = b.slice(end)
         if kept:
-            rows, kept = pa.Table.from_batches(kept), None
-            yield from shuffled(rows).to_batches(max_chunksize=2000)
+            yield from shuffled(kept).to_batches(max_chunksize=500)
 
     path = path or work_path(spark, "shards")
     tasks = min(buckets, TASKS)
