@@ -50,7 +50,7 @@ def decode_entities(text: str, keep: bool = False) -> str:
         name = m[2]
         return (html.entities.html5[name + ";"] if keep else NAMES[name]) if name in NAMES else m[0]
 
-    return re.sub("&(?:#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7})|([a-zA-Z][a-zA-Z0-9]*));", one, text)
+    return re.sub("&(?:#([xX]0*[0-9a-fA-F]{1,6}|0*[0-9]{1,7})|([a-zA-Z][a-zA-Z0-9]*));", one, text)
 
 
 def transliterate(text: str) -> str:

@@ -19,7 +19,7 @@ COMBINING = r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]"
 
 def strip_tags(text: Column) -> Column:
     """Removes tags and comments, without a space in their place."""
-    return F.regexp_replace(F.regexp_replace(text, COMMENT, ""), TAG, "")
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(F.regexp_replace(text, COMMENT, ""), TAG, "")).otherwise(text)
 
 
 def _map(pairs: dict) -> Column:
@@ -39,8 +39,8 @@ def decode_entities(text: Column) -> Column:
 
     def numeric(piece: Column) -> Column:
         code = F.coalesce(
-            F.conv(F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,6});", 1), 16, 10).cast("int"),
-            F.try_to_number(F.nullif(F.regexp_extract(piece, "^#([0-9]{1,7});", 1), F.lit("")), F.lit("9999999")).cast("int"),
+            F.conv(F.regexp_extract(piece, "^#[xX]0*([0-9a-fA-F]{1,6});", 1), 16, 10).cast("int"),
+            F.try_to_number(F.nullif(F.regexp_extract(piece, "^#0*([0-9]{1,7});", 1), F.lit("")), F.lit("9999999")).cast("int"),
         )
         valid = ((code >= 32) & (code < 127)) | code.isin(9, 10) | ((code >= 160) & ~code.between(0xD800, 0xDFFF) & (code <= 0x10FFFF) & ~code.between(0xFDD0, 0xFDEF) & (F.pmod(code, F.lit(65536)) < 65534))
         rest = F.regexp_replace(piece, "^#[0-9a-zA-Z]+;", "")
@@ -53,7 +53,8 @@ def decode_entities(text: Column) -> Column:
     def one(piece: Column) -> Column:
         return F.when(F.startswith(piece, F.lit("#")), numeric(piece)).when(piece.rlike("^[a-zA-Z][a-zA-Z0-9]*;"), named(piece)).otherwise(F.concat(F.lit("&"), piece))
 
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+    decoded = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)  # most texts have none
 
 
 def drop_marks(text: Column) -> Column:

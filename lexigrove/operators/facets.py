@@ -34,11 +34,11 @@ def build_filters(always: list[dict], given: dict[str, list[dict]], without: str
 
 
 def product_filters(category=None, brand=None, gender=None, promo=None, price_min=None, price_max=None) -> dict[str, list[dict]]:
-    """The filters of a product search form, by facet; what isn't given doesn't filter."""
+    """The filters of a product search form, by facet; what isn't given, or an empty list, doesn't filter."""
     return {
-        "category": [{"field": "category", "op": "in", "value": category}] if category is not None else [],
-        "brand": [{"field": "brand", "op": "in", "value": brand}] if brand is not None else [],
-        "gender": [{"field": "gender", "op": "=", "value": gender}] if gender is not None else [],
+        "category": [{"field": "category", "op": "in", "value": category}] if category else [],
+        "brand": [{"field": "brand", "op": "in", "value": brand}] if brand else [],
+        "gender": [{"field": "gender", "op": "=", "value": gender}] if gender else [],
         "promo": [{"field": "promo", "op": "in", "value": PROMO}] if promo else [],
         "price": [{"field": "price", "op": op, "value": v} for op, v in ((">=", price_min), ("<=", price_max)) if v is not None],
     }
@@ -49,14 +49,17 @@ AVAILABLE = [{"field": "active", "op": "=", "value": True}, {"field": "stock", "
 
 
 def adaptive(search: Callable[[dict], DataFrame], given: dict[str, list[dict]], always: list[dict] | None = None) -> dict[str, DataFrame]:
-    """For each facet the rows found under all filters but its own; equal searches are planned and cached once."""
+    """For each facet the rows found under all filters but its own; equal searches are planned once and shared.
+
+    Nothing is cached here: who reads a facet's rows more than once caches and releases them.
+    """
     seen: dict[str, DataFrame] = {}
     out = {}
     for name in given:
         filters = build_filters(always or [], given, name)
         key = repr(filters)
         if key not in seen:
-            seen[key] = search(filters).cache()
+            seen[key] = search(filters)
         out[name] = seen[key]
     return out
 
@@ -68,6 +71,8 @@ def response(search: Callable[[dict, int], DataFrame], given: dict[str, list[dic
     """
     rows = search(build_filters(AVAILABLE, given), limit).collect()
     found = adaptive(lambda f: search(f, FACET_LIMIT), given, AVAILABLE)
+    for df in found.values():
+        df.cache()
     try:
         counts = {name: {r["value"]: r["n"] for r in value_counts(found[name], name).collect()} for name in ("category", "brand", "gender")}
         promo, price = split_counts(found["promo"], "promo", PROMO).first(), value_range(found["price"], "price").first()

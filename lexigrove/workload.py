@@ -95,6 +95,23 @@ def _add(name: str, run, sql: str | None) -> None:
 
 _add("normalize_documents", lambda s, d: _table(s, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("normal")), f"SELECT doc_id, {S.normalize('text')} AS normal FROM documents")
 _add("normalize_pages_html", lambda s, d: _table(s, d, "pages").select("page_id", X.normalize(F.col("html")).alias("normal")), f"SELECT page_id, {S.normalize('html')} AS normal FROM pages")
+_REFERENCES = [0x41, 0xE9, 0xDF, 0x1AF, 0x152, 0xFB03, 0x301, 0x2D, 0x7F, 0xD800, 0x110000, 0x10FFFF, 0x3042, 9, 0]
+
+
+def _referring(s, d):
+    """Texts with a numeric reference in hexadecimal and in decimal, with as many leading zeros as the id says."""
+    code = F.element_at(F.array(*map(F.lit, _REFERENCES)), (F.pmod("doc_id", F.lit(len(_REFERENCES))) + 1).cast("int"))
+    zeros = F.repeat(F.lit("0"), F.pmod("doc_id", F.lit(13)).cast("int"))
+    text = F.concat(F.lit("caf&#x"), zeros, F.hex(code), F.lit(";s &#"), zeros, code.cast("string"), F.lit("; &#12345678; &#xZZ; &#; "), F.coalesce(F.col("text"), F.lit("")))
+    return _table(s, d, "documents").select("doc_id", X.normalize(text).alias("normal"))
+
+
+_add(
+    "normalize_numeric_references", _referring,
+    f"""WITH c AS (SELECT doc_id, text, {_REFERENCES}[doc_id % {len(_REFERENCES)} + 1] AS code, repeat('0', (doc_id % 13)::INT) AS z FROM documents),
+t AS (SELECT doc_id, 'caf&#x' || z || upper(to_hex(code)) || ';s &#' || z || code || '; &#12345678; &#xZZ; &#; ' || coalesce(text, '') AS x FROM c)
+SELECT doc_id, {S.normalize('x', numeric=True)} AS normal FROM t""",
+)
 _add(
     "tokenize_documents", lambda s, d: _table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(X.tokenize(F.col("text"))), " ").alias("trigrams")),
     f"WITH {_DOC} SELECT doc_id, array_to_string(list_sort(g), ' ') AS trigrams FROM d",
@@ -224,6 +241,23 @@ SELECT doc_id, CASE WHEN loc > 0 THEN {text} END AS marked FROM m"""
 _add("highlight_full", *_marked(False))
 _add("highlight_excerpt", *_marked(True))
 
+
+
+def _highlighted(s, d):
+    rows = retrieve.search(_stored(s, d, "products"), PRODUCT, LIMIT, boosts=BOOSTS, highlight=True, highlight_options={"excerpt": False, "tags": ("[", "]")})
+    return rows.select("doc_id", F.explode("highlights").alias("field", "marked"))
+
+
+def _highlighted_sql() -> str:
+    grams = "[" + ", ".join(f"'{t}'" for t in A.tokenize(PRODUCT)) + "]"
+    words = "string_split_regex(trim({f}, ' \t\n\r'), '\\s+')"
+    hit = f"list_has_any({S.tokenize(S.normalize('w'))}, {grams})"
+    one = "SELECT doc_id, '{f}' AS field, array_to_string(list_transform(ws, lambda w: CASE WHEN " + hit.replace("{", "{{").replace("}", "}}") + " THEN '[' || w || ']' ELSE w END), ' ') AS marked FROM (SELECT k.doc_id, " + words + " AS ws FROM k JOIN src ON p_partkey = k.doc_id WHERE {f} <> '') WHERE len(list_filter(ws, lambda w: " + hit.replace("{", "{{").replace("}", "}}") + ")) > 0"
+    return f"WITH {_PART}, {O.candidates(PRODUCT, LIMIT)}, {O.kept(LIMIT, 'p_partkey')} " + " UNION ALL ".join(one.format(f=f) for f in BOOSTS)
+
+
+_add("highlight_fields", _highlighted, _highlighted_sql())
+
 # facets
 
 _GIVEN = {
@@ -264,6 +298,45 @@ _add(
     f"WITH {_PART}, {O.candidates(PRODUCT, facets.FACET_LIMIT)}, {O.kept(facets.FACET_LIMIT, 'p_partkey')} SELECT count(*) FILTER (p_size IN (1, 2, 3, 4, 5)) AS n_in, count(*) FILTER (p_size NOT IN (1, 2, 3, 4, 5)) AS n_rest FROM k JOIN src ON p_partkey = k.doc_id",
 )
 
+SHOP = "p_partkey AS doc_id, p_name AS name, p_type AS category, p_brand AS brand, CASE WHEN p_size % 3 = 0 THEN 'f' WHEN p_size % 3 = 1 THEN 'm' END AS gender, CAST(CASE WHEN p_size % 7 < 6 THEN -10 * (p_size % 7) END AS INT) AS promo, p_retailprice AS price, p_size - 2 AS stock, p_partkey % 5 <> 0 AS active"
+_FORM = {"category": ["ECONOMY", "SMALL"], "brand": [], "promo": True, "price_min": 905.0}
+
+
+def _shop(spark, sf_dir, keep):
+    return build(_table(spark, sf_dir, "part").selectExpr(*[c.strip() for c in SHOP.split(", ")]), keep=keep)
+
+
+_BUILD["shop"] = _shop
+
+
+def _page(s, d):
+    """A product search page as rows: its results, and each facet's values, each under all filters but its own."""
+    page = facets.response(lambda f, n: retrieve.search(_stored(s, d, "shop"), "small wigdet", n, filters=f), facets.product_filters(**_FORM), LIMIT)
+    rows = [("total", "", float(page["total"])), *(("result", str(r["doc_id"]), float(r["hits"])) for r in page["results"])]
+    for facet, values in page["facets"].items():
+        rows += [(facet, k, float(v)) for k, v in values.items()]
+    return s.createDataFrame(rows, "facet string, value string, n double")
+
+
+def _page_sql() -> str:
+    always, own = "active AND stock > 0", {"category": "category IN ('ECONOMY', 'SMALL')", "promo": "promo IN (-10, -20, -30, -40, -50)", "price": "price >= 905.0"}
+    cte = O.corpus(f"(SELECT {SHOP} FROM part) x", "doc_id", ["name", "category", "brand", "gender"])
+    parts = [f"{cte}, {O.candidates('small wigdet', LIMIT)}, {O.kept(LIMIT, 'doc_id', ' AND '.join([always, *own.values()]))}"]
+    found = {}
+    for name in ("category", "brand", "gender", "promo", "price"):
+        where = " AND ".join([always, *(v for k, v in own.items() if k != name)])
+        full = O.candidates("small wigdet", facets.FACET_LIMIT).split("h AS (")[1].rsplit(")", 1)[0]
+        found[name] = f"(SELECT src.* FROM (SELECT h.doc_id, h.hits, h.min_trank FROM ({full}) h JOIN src ON src.doc_id = h.doc_id WHERE {where} ORDER BY hits DESC, min_trank, h.doc_id LIMIT {facets.FACET_LIMIT}) k JOIN src ON src.doc_id = k.doc_id)"
+    rows = ["SELECT 'total' AS facet, '' AS value, count(*)::DOUBLE AS n FROM k", "SELECT 'result', doc_id::VARCHAR, hits::DOUBLE FROM k"]
+    rows += [f"SELECT '{n}', {n}, count(*)::DOUBLE FROM {found[n]} WHERE {n} IS NOT NULL GROUP BY {n}" for n in ("category", "brand", "gender")]
+    sale = own["promo"]
+    rows += [f"SELECT 'promo', 'on_sale', (count(*) FILTER ({sale}))::DOUBLE FROM {found['promo']}", f"SELECT 'promo', 'full_price', (count(*) FILTER (NOT coalesce({sale}, FALSE)))::DOUBLE FROM {found['promo']}"]
+    rows += [f"SELECT 'price', '{f}', coalesce(round({f}(coalesce(price, 0)), 2), 0)::DOUBLE FROM {found['price']}" for f in ("min", "max")]
+    return f"WITH {parts[0]} " + " UNION ALL ".join(rows)
+
+
+_add("facet_response", _page, _page_sql())
+
 # lifecycle
 
 
@@ -303,6 +376,62 @@ _add("engine_compact", _lifecycle(_compacted), _engine_sql(True))
 _add("engine_count", _lifecycle(lambda s, e: s.createDataFrame([(e.count(),)], "n long")), f"SELECT count(*) AS n FROM {_LIVE} WHERE NOT gone")
 _add("engine_fragmentation", _lifecycle(lambda s, e: s.createDataFrame([(e.fragmentation_rate(),)], "percent long")), f"SELECT round(100.0 * count(*) FILTER (gone) / count(*))::BIGINT AS percent FROM {_LIVE}")
 
+
+
+def _reopened(s, engine):
+    """Closed, opened again by another engine beside what a crash left, and written to."""
+    path = engine.store.files.base
+    s.range(3).write.parquet(f"{path}/segment-dead")
+    engine.close()
+    again = SearchEngine(s).open(path)
+    new = again.insert({"key": -1, "text": PLAIN})
+    own = again.get(new).select("key", F.col("text"), F.lit(new).cast("long").alias("id"), F.lit(again.count()).cast("long").alias("n"))
+    return own.withColumn("swept", F.lit(not again.store.files.exists("segment-dead")))
+
+
+def _emptied(s, engine):
+    """Reset, with nothing left to find, and filled again from the first id on."""
+    before = engine.count()
+    engine.reset()
+    found, zero = engine.search(PLAIN).count(), engine.fragmentation_rate()
+    ids = engine.insert_bulk([{"key": 5, "text": COMMON}, {"key": 6, "text": ""}, {"key": None, "text": None}])
+    one = engine.search(COMMON, 1).first()
+    return s.createDataFrame([(before, engine.count(), found, zero, ids[-1], one["key"], one["score"])], "before long, n long, found long, fragmentation long, last_id long, best long, score double")
+
+
+_LIVE_N = f"(SELECT count(*) FROM {_LIVE} WHERE NOT gone)"
+_add("engine_reopen_insert_get", _lifecycle(_reopened), f"SELECT -1::BIGINT AS key, '{PLAIN}' AS text, (SELECT count(*) + 1 FROM documents) AS id, {_LIVE_N} + 1 AS n, TRUE AS swept")
+_K = len(A.tokenize(COMMON))
+_add(
+    "engine_reset", _lifecycle(_emptied),
+    f"""SELECT {_LIVE_N} AS before, 3::BIGINT AS n, 0::BIGINT AS found, 0::BIGINT AS fragmentation, 2::BIGINT AS last_id, 5::BIGINT AS best,
+round(least({_K} * ln((3 - 1 + 0.5::DOUBLE) / 1.5::DOUBLE + 1) * 2.5::DOUBLE / (1 + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * 3)) / (ln(3.5::DOUBLE / 0.5::DOUBLE + 1) * 2.5::DOUBLE) * 100, 100), 2) AS score""",
+)
+
+
+def _one_by_one(s, d):
+    """A writer that is locked out, an unknown operator, and documents that come in bulk and singly."""
+    engine = SearchEngine(s).open(f"{shared_dir(s)}/engine-{uuid.uuid4().hex}", "name string")
+    rows = [r["r_name"] for r in _table(s, d, "region").orderBy("r_regionkey").collect()]  # five
+    engine.insert_bulk([{"name": x} for x in rows])
+    engine.insert_bulk([])
+    said = []
+    with engine.store.lock:
+        try:
+            SearchEngine(s).open(engine.store.files.base, lock_timeout=0.1).insert({"name": "late"})
+        except TimeoutError:
+            said.append("locked")
+    try:
+        engine.search("x", filters={"and": [{"field": "name", "op": "~", "value": 1}]})
+    except ValueError:
+        said.append("unknown")
+    for x in rows:
+        engine.insert({"name": x.lower()})
+    return engine.store.index().documents.select("doc_id", F.col("name"), F.lit(",".join(said)).alias("refused"))
+
+
+_add("engine_single_inserts", _one_by_one, "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS doc_id, r_name AS name, 'locked,unknown' AS refused FROM region UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey) - 1 + (SELECT count(*) FROM region), lower(r_name), 'locked,unknown' FROM region")
+
 # nested and schemaless documents, and many queries
 
 _CONV = "(SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) x"
@@ -320,6 +449,16 @@ def _json_filter(s, d):
 _add("filter_json_docs", _json_filter, "SELECT event_id AS doc_id FROM events WHERE event_type IN ('error', 'click')")
 
 
+def _deep(s, d):
+    """Events within twelve levels of objects and lists."""
+    events = _table(s, d, "events").select("event_id", F.concat(F.lit('{"a":[' * 6), F.to_json(F.struct("event_type")), F.lit("]}" * 6)).alias("json"))
+    index = dynamic.build(events, "event_id", "json")
+    return index.documents.select("doc_id", F.col("n_trigrams").cast("long").alias("n_trigrams"))
+
+
+_add("json_deep_strings", _deep, f"WITH {_EVENT_CTE} SELECT doc_id, dl::BIGINT AS n_trigrams FROM d")
+
+
 def _many(s, d):
     queries = _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieve.search_many(_stored(s, d, "documents"), queries, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", F.col("hits").cast("long").alias("hits"))
