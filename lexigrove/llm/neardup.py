@@ -29,7 +29,7 @@ from .common import SPACE_RE, likely, sql_fold, stage, table, work_path
 
 SHINGLE, BANDS, ROWS, BITS = 5, 40, 3, 4
 FINE, BLOCK = 1024, 256
-LEAST = 0.7
+MANY = 500  #: partners that a document's set is sent to at once
 
 
 def _sets(data, offs, tabs, size):
@@ -229,23 +229,36 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
 
     sets = stage(_texts(docs, ids, doc_id, text).mapInArrow(K.tidy(f), f"id {kind}, words binary").distinct(), "sets")
 
+    # the set of a, once for each MANY of its partners, and then theirs
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MANY).alias("parts"))
+    own = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    left = own.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), "words"), "a").select("a", "part", F.lit(0).alias("side"), F.lit(None).cast(kind).alias("b"), "words")
+    right = own.join(sets.select(F.col("id").alias("b"), "words"), "b").select("a", "part", F.lit(1).alias("side"), "b", "words")
+    both = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+
     def g(batches):
+        now, held = None, []
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
+            a, part, side, b, words = (batch.column(i) for i in range(5))
             keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
+            for i, (key, first) in enumerate(zip(zip(a.to_pylist(), part.to_pylist()), side.to_pylist())):
+                own = np.frombuffer(words[i].as_buffer(), np.uint64)
+                if first == 0:
+                    if key != now:
+                        now, held = key, []
+                    held.append(own)  # several, where an id has several texts
                     continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both) and both:
-                    keep.append(i)
+                for p in held if key == now else ():
+                    if min(len(p), len(own)) * 100 < percent * max(len(p), len(own)):
+                        continue
+                    both = len(np.intersect1d(p, own, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(own) - both) and both:
+                        keep.append(i)
+                        break
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")  # the side with many partners is joined last; AQE splits it where it is hot
-    two = one.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").select("a", "b", "x", "y")
-    return stage(two.mapInArrow(K.tidy(g), f"a {kind}, b {kind}").distinct(), "links")
+    return stage(both.mapInArrow(K.tidy(g), f"a {kind}, b {kind}").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 70, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
@@ -295,6 +308,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op3_bbit_minhash(spark, sf_dir):
+    """Classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
