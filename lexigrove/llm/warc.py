@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import stage, table, work_path
 
 MIN_REVISIT, CHUNK = 100, 256 << 10
+READ_BYTES = 32 << 20  #: bytes of archives that a task reads back, about
 BROADCAST_ROWS = 200_000  #: revisits up to which their ids (16 bytes each) are sent to every executor
 
 
@@ -168,10 +169,15 @@ def read_warc(index: DataFrame, path_uri: str, data: bool = True) -> DataFrame:
         if rows[0]:
             yield full()
 
-    return index.mapInArrow(f, fields)
+    # tasks by bytes of the archives, not of the index; an offset is the sum of the lengths before it
+    held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-held // READ_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    parts = index.repartition(tasks, "path", F.floor(F.col("offset") / (held // tasks + 1 if held < tasks * READ_BYTES else READ_BYTES)))
+    return parts.sortWithinPartitions("path", "offset").mapInArrow(f, fields)
 
 
 def op8_warc_chunks(spark, sf_dir):
+    """Writes all pages as archives, and reads their records back."""
     path = work_path(spark, "warc")
     index = write_warc(table(spark, sf_dir, "pages"), path)
     last = read_warc(index, path, data=False).where("is_last")
