@@ -77,6 +77,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def beside(docs: DataFrame, added: tuple[str, ...], step) -> DataFrame:
+    """The rows that step(docs) leaves, with the columns of docs as they were, though step replaces those named in ``added``."""
+    other = docs.withColumns({c: F.lit(None).cast("int") for c in added if c.lower() not in {x.lower() for x in docs.columns}})
+    clash = [c for c in docs.columns if c.lower() in {a.lower() for a in added}]
+    back = dict(zip(clash, fresh(other, *clash)))
+    out = step(docs.withColumnsRenamed(back))
+    return out.select(*[F.col(f"`{back.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def row_hash(df: DataFrame):
     """A hash of whole rows, whatever the types of their columns."""
 
