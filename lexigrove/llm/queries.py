@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op4_mtree_top_k": mtree.SQL,
     "op8_warc_chunks": warc.SQL,
     "op9_entropy_balancing": mixing.SQL,
+    "op10_suffix_family": suffixdedup.SQL,
 }

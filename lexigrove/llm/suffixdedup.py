@@ -308,10 +308,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op10_suffix_family(spark, sf_dir):
+    """What is left of all documents."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, h, unnest(generate_series(0, len(h) // 2 - {SPAN})) AS i FROM d WHERE len(h) >= {2 * SPAN}),
+w AS MATERIALIZED (SELECT r, i, md5_number(array_slice(h, 2 * i + 1, 2 * i + {2 * SPAN})) AS k FROM p),
+m AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {SPAN} THEN 0 ELSE 1 END AS new FROM m)),
+s AS (SELECT r, min(i) AS a, max(i) + {SPAN} AS z FROM g GROUP BY r, run),
+c AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM s),
+l AS (SELECT r, string_agg(array_slice(d.h, 2 * y + 1, 2 * a), '' ORDER BY a) || array_slice(any_value(d.h), 2 * max(z) + 1, len(any_value(d.h))) AS kept, sum(z - a) AS n_removed, count(*) AS n_spans FROM c JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
+
+
 def brute(docs, span: int = SPAN):
     """The same by counting all strings, for tests: docs is a list of (id, text)."""
     from collections import Counter
