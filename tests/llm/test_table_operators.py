@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def test_shard_query(spark, tmp_path):
 def test_warc_round_trip(spark, monkeypatch, broadcast_rows):
     big = "".join(random.Random(3).choices("abcé\n\r", k=700_000))
     pages = [(1, "http://a/ b\r\nX: y", "x" * 99), (2, "u", "x" * 99), (5, "u", "y" * 100), (4, None, "y" * 100), (9, "http://é", "y" * 100), (6, "u", None), (7, "u", ""), (8, "u", big), (10, "u", big), (11, "u", "é" * 50), (12, "u", "\r\n\r\nWARC/1.1" + "z" * 90), (None, "u", "q" * 200), (None, "u", "y" * 100)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("page", F.lit(1)).repartition(2)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("page", "_page", "digest", "_digest", "payload", "refers_to", "copies", "n")}).repartition(2)
     path = work_path(spark, "warc")
     index = warc.write_warc(df, path, broadcast_rows=broadcast_rows)
     chunks = warc.read_warc(index, path).collect()
@@ -250,8 +251,6 @@ def test_mix(spark):
 
 
 def test_mix_is_its_sql_for_large_sources(spark, tmp_path):
-    import duckdb
-
     docs = spark.range(60_000).selectExpr("id AS doc_id", "repeat('w ', int(pmod(xxhash64(id), 50))) AS text", "'en' AS lang", "CASE WHEN id % 10 < 8 THEN 'hot' WHEN id % 10 = 8 THEN 'b' END AS source", "1L AS n_chars")
     docs.repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
     db = duckdb.connect()
@@ -352,13 +351,69 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, ids[0])) == sorted(str(i) for i in everyone if i not in toxic)
     assert Counter(ids[1]) == Counter(set(everyone) - toxic - {502, 503, 600})
     assert Counter(ids[2]) == Counter(set(everyone) - toxic - {502, 503, 600, 1})
-    assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 3 and len(ids[3]) > 250
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/after-decontamination/*.parquet'")
+    want = {k: taken // size for k, size, _, _, taken in db.execute(mixing.SQL).fetchall() if size}
+    got = Counter(ids[3])
+    assert {k: got[k] for k in want} == want and max(got.values()) <= 3 and len(ids[3]) > 250
     last = corpus_pipeline.STAGES[4][1](spark, frame, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in last) == Counter(ids[3])
     sizes = Counter(r.shard for r in last)
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+CLASH = ("score", "_score", "offending", "n_words", "_n_words", "n_hit", "items", "_items", "spans", "_text", "_copies", "copies", "mark", "key", "tie", "bucket", "rank", "id", "_id", "comp", "d", "t", "row", "size", "target")
+
+
+def tables(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, "some words of an item that stands nowhere else at all"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + ". " + ("vileword nastyone" if i % 5 == 0 else "fine"), "en", "s", i) for i in range(200)]
+    rows += [(7, "another text of the same id", "en", "s", 7), (300, "long " * 60_000, "en", None, 300), (301, None, None, "s", None), (None, "", None, "s", None)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASH}).withColumn("map", F.create_map(F.lit("k"), F.col("n_chars")))
+    tables(spark, tmp_path, docs)
+    for runs in range(2):
+        frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        columns = frame.columns
+        for name, step in corpus_pipeline.STAGES:
+            frame = step(spark, frame, str(tmp_path))
+            assert sorted(frame.columns) == sorted(columns + ["shard", "slot"] * (name == "sharding"))
+            frame.write.parquet(f"{tmp_path}/{runs}-{name}")
+            frame = spark.read.parquet(f"{tmp_path}/{runs}-{name}")
+        out = frame.collect()
+        assert len({r.doc_id for r in out}) > 100
+        for r in out:
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in CLASH) and r.map == {"k": r.n_chars}
+        texts = {r.doc_id: r.text for r in out}
+        assert texts.get(300) in (None, "long " * 60_000)
+        found = sorted(map(str, out))
+        assert not runs or found == before  # reruns agree
+        before = found
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, spark.createDataFrame([], DOC))
+    for _, step in corpus_pipeline.STAGES:
+        out = step(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_stands_for_all_in_every_run(spark):
+    from lexigrove.llm.common import one_of
+
+    rows = [(i % 4, i, {"a": i}) for i in range(40)] + [(None, None, None)] * 2
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "k int, v int, m map<string,int>").repartition(n)
+        assert sorted((r.k is None, r.k or 0, r.v, r.m) for r in one_of(df, "k").collect()) == [(False, 0, 0, {"a": 0}), (False, 1, 1, {"a": 1}), (False, 2, 10, {"a": 10}), (False, 3, 11, {"a": 11}), (True, 0, None, None)]
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert toxicity.THRESHOLD == 0.3

@@ -185,10 +185,11 @@ def test_automaton_is_the_regex():
 def test_near_duplicates(spark, corpus, monkeypatch):
     docs = [d for d in corpus if d[0] is not None]
     want = sorted(neardup.brute(docs))
-    df = frame(spark, docs).withColumn("kept", F.lit(0))
+    df = frame(spark, docs).withColumns({c: F.lit(0) for c in ("kept", "id", "rep", "a", "b", "band", "bits", "n")})
     assert rows(neardup.near_duplicates(df).drop("n_links")) == want
     assert sum(not r[3] for r in want) > 5
     monkeypatch.setattr(neardup, "BLOCK", 2)  # groups of several blocks
+    monkeypatch.setattr(neardup, "MANY", 1)  # and a set sent more than once
     assert rows(neardup.near_duplicates(df).drop("n_links")) == want
 
 
@@ -257,6 +258,18 @@ def test_toxicity(spark):
     assert model == toxicity.train(df, label_rows.where(~toxicity.held_out()))  # reruns agree
 
 
+def test_toxicity_learns_from_a_bounded_part(spark, monkeypatch):
+    """Documents and words beyond the bounds don't count; the same ones are learned from in every run."""
+    rng = random.Random(4)
+    words = vocabulary(rng, 300)
+    docs = [(i, prose(rng, words, 20) + (" vileword nastyone" if i % 3 == 0 else "")) for i in range(600)] + [(900, "vileword " * 500), (3, "a second text of one id")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)] + [(900, 0)], "doc_id long, toxic int")
+    frames = [frame(spark, docs), frame(spark, docs[::-1]).repartition(7)]
+    few = [toxicity.train(f, labels, most_words=5000) for f in frames]
+    assert few[0] == few[1] and few[0] != toxicity.train(frames[0], labels)
+    assert set(toxicity.train(frames[0], labels, most_words=100)) == {-1, -2}  # no text is short enough
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(edges(), DOC)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -268,7 +281,7 @@ def test_toxicity_without_labels(spark):
 
 
 def test_passages(spark, corpus):
-    out = chaining.passages(frame(spark, corpus)).collect()
+    out = chaining.passages(frame(spark, corpus).withColumns({c: F.lit(0) for c in ("doc", "other", "seed", "at", "y", "digest", "start", "id")})).collect()
     shared = {r.doc_id for r in out if 60 <= r.other_id < 75} | {r.other_id for r in out if 60 <= r.other_id < 75}
     assert set(range(60, 75)) <= shared
     for r in out:
