@@ -14,6 +14,7 @@ cloudpickle.register_pickle_by_value(A)  # for normalize_strict(): workers need
 
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"""<[^\s](?:[^'">]++|"[^"]*+"|'[^']*+')*+(?:>|$)"""
+_AHEAD = "(?=(#[a-z0-9][a-z0-9#]|[a-z0-9]{2}[a-z0-9#]))"
 COMBINING = r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]"
 
 
@@ -89,8 +90,12 @@ def word_trigrams(word: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Distinct trigrams of the text's words, in order of first occurrence; none for null."""
-    return F.coalesce(F.array_distinct(F.flatten(F.transform(F.array_distinct(words(normalize(text))), word_trigrams))), F.array().cast("array<string>"))
+    """Distinct trigrams of the text's words, in order of first occurrence; none for null.
+
+    One match for each trigram of #word##word#...#, found ahead of each place; none lies across two words.
+    """
+    marked = F.concat(F.lit("#"), F.replace(normalize(text), F.lit(" "), F.lit("##")), F.lit("#"))
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(marked, F.lit(_AHEAD), F.lit(1))), F.array().cast("array<string>"))
 
 
 def ordinal(trigram: Column) -> Column:

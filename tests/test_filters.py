@@ -97,3 +97,10 @@ def test_json_documents(spark):
     assert ids({"field": "z", "op": "!=", "value": False}) == []
     assert ids({"field": "t", "op": "not contains", "value": "x"}) == [2]
     assert dynamic.strings(index.documents).where(F.col("value") == "deep blue").count() == 1
+
+
+def test_strings_of_deep_json(spark):
+    depth = 40
+    docs = [(1, '{"a":' * depth + '"deep"' + "}" * depth), (2, "[" * depth + '"deeper", {"b": ["x"]}' + "]" * depth), (3, '"plain"'), (4, "not json"), (5, None), (6, "{}")]
+    index = dynamic.build(spark.createDataFrame(docs, "id long, json string"), "id", "json")
+    assert {r.doc_id: r.n_trigrams for r in index.documents.collect()} == {1: 4, 2: 7, 3: 5, 4: 0, 5: 0, 6: 0}

@@ -204,3 +204,8 @@ def test_product_page(spark, tmp_path):
     assert page["total"] == 1 and page["results"][0]["name"] == "red shoe"
     assert page["facets"]["category"] == {"boots": 1, "shoes": 1} and page["facets"]["brand"] == {"Acme": 1}
     assert page["facets"]["promo"] == {"on_sale": 1, "full_price": 0} and page["facets"]["price"] == {"min": 0.0, "max": 10.5}
+
+
+def test_what_is_empty_in_a_form_does_not_filter():
+    given = facets.product_filters(category=[], brand=None, gender="", promo=False, price_max=0.0)
+    assert {k for k, v in given.items() if v} == {"price"}

@@ -15,6 +15,8 @@ CASES = [
     ("a<!-- gone <b> -->b", "ab"),
     ("t&eacute;l&#233;&#xC9; &lt;b&gt; &amp;lt;", "telee b lt"),
     ("&foo; &copy; &amp", "foo amp"),
+    ("caf&#0000000233; &#x00000E9; &#000000000000000000065;", "cafe e a"),
+    ("&#0; &#00; &#99999999; &#x1000000; &#xD800;", "0 00 99999999 x1000000 xd800"),
     ("&euro;uros", "uros"),
     ("Čapek Žižka ÆØß ﬃ İı", "apek ziz ka aeoss ffi ii".replace("ziz ka", "zizka")),
     ("étè", "ete"),
