@@ -18,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_scratch: list[str] = []  # folders of work_path(), in order
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexigrove-{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder; it stays, as results that read it are lazy, until sweep() or the end of the shared folder."""
+    _scratch.append(f"{shared_dir(spark)}/lexigrove-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
 
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
@@ -45,6 +50,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, step):
+    """step(), a DataFrame that stage() has just written; all else that was written meanwhile is deleted."""
+    mark = len(_scratch)
+    out = step()
+    kept = _scratch.pop()
+    for path in _scratch[mark:]:
+        drop_path(spark, path)
+    _scratch[mark:] = [kept]
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of work_path()."""
     jvm = spark.sparkContext._jvm

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -405,6 +406,19 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_the_pipeline_leaves_its_result_only(spark, tmp_path):
+    from lexigrove.llm import common
+    from lexigrove.sources.workdir import shared_dir
+
+    base = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(base))
+    tables(spark, tmp_path, spark.createDataFrame([(i, f"words of text {i} and {i * 7} or {i * 31} as well", "en", "s", i) for i in range(50)], DOC))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = {n for n in set(os.listdir(base)) - before if "pipeline" in n or "lexigrove" in n}
+    assert [n.split("-")[1:3] for n in left] == [["pipeline", "sharding"]] and out.count() > 0
+    assert common._scratch[-1].endswith(next(n for n in left if "pipeline" in n))
+
+
 def test_one_row_stands_for_all_in_every_run(spark):
     from lexigrove.llm.common import one_of
 
