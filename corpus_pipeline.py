@@ -11,7 +11,7 @@ nothing contaminated.
 from pyspark.sql import functions as F
 
 from lexigrove.llm import decontaminate, mixing, neardup, sharding, toxicity
-from lexigrove.llm.common import beside, likely, one_of, stage, table
+from lexigrove.llm.common import beside, likely, one_of, stage, sweep, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -60,7 +60,11 @@ ORACLE_SQL = None  # a trained model and seeded shuffles; tests/llm hold each st
 
 def run(spark, sf_dir):
     """The documents that all stages kept, in shards."""
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+
+    def stages():
+        docs = table(spark, sf_dir, "documents")
+        for name, step in STAGES:
+            docs = sweep(spark, lambda f=step, given=docs, n=name: stage(f(spark, given, sf_dir), f"pipeline-{n}"))
+        return docs
+
+    return sweep(spark, stages)  # what a stage wrote for itself goes with it, and in the end the stages' results but the last
