@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.analyze import ALPHABET
 from ..sources.workdir import shared_dir
 from . import score as S
 from .filters import condition
@@ -83,9 +84,9 @@ class Block:
         q, hits, rank, doc, weight, size = self.held
         some = np.flatnonzero(self.full)
         n = len(some)
-        columns = [np.concatenate(x) for x in ((self.ids[q], self.ids[some]), (hits, self.full[some]), (rank, np.zeros(n, np.int64)), (weight, np.zeros(n)), (size, np.zeros(n, np.int64)))]
+        columns = [np.concatenate(x) for x in ((self.ids[q], self.ids[some]), (hits, self.full[some]), (rank, np.zeros(n, np.int64)), (weight, np.zeros(n)), (size, np.zeros(n, np.int64)), (self.k[q], self.k[some]))]
         ids = pa.array(np.concatenate((doc, np.zeros(n, np.int64))), mask=np.concatenate((np.zeros(len(doc), bool), np.ones(n, bool))))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), ids, *map(pa.array, columns[1:])], ["query_id", "doc_id", "hits", "min_trank", "weight", "n_trigrams"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), ids, *map(pa.array, columns[1:-1]), pa.array(columns[-1].astype(np.int64))], ["query_id", "doc_id", "hits", "min_trank", "weight", "n_trigrams", "k"])
 
 
 def _blocks(entries: DataFrame, n: int, base: str) -> list[str]:
@@ -105,23 +106,53 @@ def _blocks(entries: DataFrame, n: int, base: str) -> list[str]:
     return sorted(r["path"] for r in blocks.collect())  # a row for BLOCK queries
 
 
+STEPS = 512  #: ranges of ids in which postings are counted at a time
+
+
+def since(index: Index, most: int):
+    """For each trigram, by ordinal, the oldest document that the cap of ``most`` postings lets it count for.
+
+    Postings are counted by ranges of ids, finer and finer around the place where the cap is reached, so that
+    no trigram's postings are sorted or sent to one task.  It is kept with the index.
+    """
+    if ("since", most) not in index.seen:
+        spark = index.postings.sparkSession
+        out = np.full(TRIGRAMS, -(1 << 63), dtype=np.int64)
+        capped = [r["trigram"] for r in index.dictionary.where(F.col("df") > most).select("trigram").collect()]  # at most TRIGRAMS
+        lo, hi = index.forward.agg(F.min("doc_id"), F.max("doc_id")).first() if capped else (0, 0)
+        width, cut = hi - lo + 1, [(t, lo, most) for t in capped]  # where each one's cap is reached, from lo on, and how many of the newest are left
+        while capped:
+            step = -(-width // STEPS)
+            near = F.broadcast(spark.createDataFrame(cut, "trigram string, lo long, need long"))
+            place = F.floor((F.col("doc_id") - F.col("lo")) / step)
+            rows = index.postings.join(near, "trigram").where((F.col("doc_id") >= F.col("lo")) & (F.col("doc_id") < F.col("lo") + width))
+            rows = rows.groupBy("trigram", "lo", "need", place.alias("at")).agg(F.count("*").alias("n"))
+            above = F.coalesce(F.sum("n").over(Window.partitionBy("trigram").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most STEPS rows
+            rows = rows.withColumn("above", above).where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
+            cut = [tuple(r) for r in rows.select("trigram", (F.col("lo") + F.col("at") * step).alias("lo"), (F.col("need") - F.col("above")).alias("need")).collect()]
+            width = step
+            if step == 1:
+                break
+        for trigram, at, _ in cut if capped else ():
+            out[_ordinal(trigram)] = at
+        index.seen["since", most] = out
+    return index.seen["since", most]
+
+
+def _ordinal(trigram: str) -> int:
+    a, b, c = map(ALPHABET.index, trigram)
+    return (a * 37 + b) * 37 + c
+
+
 def matches(index: Index, entries: DataFrame, n_queries: int, limit: int, max_candidates: int | None, filters: dict | None) -> DataFrame:
     """(query_id, doc_id, hits, min_trank, weight, n_trigrams) of each query's first ``limit`` candidates that pass the filters.
 
-    entries: (query_id, trigram, df, trank, k).  weight: the sum of the idf of all trigrams shared, uncapped.
+    entries: (query_id, trigram, df, trank), read once.  weight: the sum of the idf of all trigrams shared, uncapped.
     """
-    spark, schema = entries.sparkSession, "query_id long, doc_id long, hits long, min_trank long, weight double, n_trigrams long"
+    spark, schema = entries.sparkSession, "query_id long, doc_id long, hits long, min_trank long, weight double, n_trigrams long, k long"
     n, _ = index.corpus()
     grams = entries.select("query_id", X.ordinal(F.col("trigram")).cast("int").alias("gram"), F.col("trank").cast("int").alias("trank"), S.idf(F.lit(float(n)), F.col("df")).alias("idf"))
     paths = _blocks(grams, max(1, -(-n_queries // BLOCK)), f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}")
-    since = np.full(TRIGRAMS, -(1 << 63), dtype=np.int64)  # the oldest document that the cap lets a trigram count for
-    if max_candidates is not None:
-        capped = index.dictionary.where(F.col("df") > max_candidates).select("trigram")
-        turn = F.row_number().over(Window.partitionBy("trigram").orderBy(F.desc("doc_id")))
-        last = index.postings.join(F.broadcast(capped), "trigram", "left_semi").withColumn("_rn", turn).where(F.col("_rn") <= max_candidates).groupBy("trigram").agg(F.min("doc_id").alias("since"))
-        if not capped.isEmpty():
-            for r in last.select(X.ordinal(F.col("trigram")).cast("int").alias("gram"), "since").collect():  # at most TRIGRAMS
-                since[r["gram"]] = r["since"]
     docs = index.forward
     if filters:
         docs = docs.join(index.documents.where(condition(filters, index.documents.schema)).select("doc_id", F.lit(True).alias("ok")), "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
@@ -130,7 +161,7 @@ def matches(index: Index, entries: DataFrame, n_queries: int, limit: int, max_ca
     if index.tombstones is not None:
         docs = docs.join(index.tombstones.select("doc_id").distinct(), "doc_id", "left_anti")
     docs = docs.select("doc_id", "ok", F.col("n_trigrams").cast("long"), "grams")
-    sent = spark.sparkContext.broadcast(since)
+    sent = spark.sparkContext.broadcast(np.full(TRIGRAMS, -(1 << 63), dtype=np.int64) if max_candidates is None else since(index, max_candidates))
 
     def scan(some):
         def f(batches):
@@ -162,9 +193,8 @@ def matches(index: Index, entries: DataFrame, n_queries: int, limit: int, max_ca
     if found is None or limit < 1:
         return spark.createDataFrame([], schema)
     # the intersection of each query, or, where it has fewer than ``limit`` documents, the union: its documents come first anyway
-    ks = entries.groupBy("query_id").agg(F.max("k").alias("k"))
     per = Window.partitionBy("query_id")
     found = found.withColumn("full", F.sum(F.when(F.col("doc_id").isNull(), F.col("hits")).otherwise(0)).over(per))
     found = found.withColumn("_rank", F.row_number().over(per.orderBy(F.col("doc_id").isNull(), F.desc("hits"), "min_trank", "doc_id"))).where(F.col("doc_id").isNotNull() & (F.col("_rank") <= limit))
-    found = found.join(ks, "query_id").where((F.col("full") < limit) | (F.col("hits") == F.col("k")))
+    found = found.where((F.col("full") < limit) | (F.col("hits") == F.col("k")))
     return found.select("query_id", "doc_id", "hits", "min_trank", "weight", "n_trigrams")

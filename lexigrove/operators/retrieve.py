@@ -137,7 +137,7 @@ def search(index: Index, query: str, limit: int = 20, max_candidates: int | None
     known = sorted(df, key=df.get)  # of equals the first in the query
     n, _ = index.corpus()
     entries = spark.createDataFrame([(0, t, df[t], i + 1) for i, t in enumerate(known)], "query_id long, trigram string, df long, trank int")
-    terms = F.broadcast(entries.select("trigram", "trank", S.idf(F.lit(float(n)), F.col("df")).alias("idf")))
+    terms = F.broadcast(entries.select("trigram", "trank", S.idf(F.lit(float(n)), F.col("df")).alias("idf")))  # a query's trigrams
     postings = index.postings.where(F.col("trigram").isin(known)) if 0 < len(known) <= SMALL_QUERY else index.postings.limit(0) if not known else index.postings
     capped = max_candidates is not None and max(df.values(), default=0) > max_candidates
     found = (recent(postings, max_candidates) if capped else postings).where("doc_id IS NOT NULL").join(terms, "trigram")
@@ -161,7 +161,8 @@ def search(index: Index, query: str, limit: int = 20, max_candidates: int | None
 
 def search_many(index: Index, queries: DataFrame, limit: int = 20, max_candidates: int | None = MAX_CANDIDATES, boosts: dict[str, float] | None = None, filters: dict | None = None, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """All queries of a DataFrame in one plan: (query_id, rank, doc_id, score, hits, fields)."""
-    entries = written(probe(query_table_of(queries, id_col, text_col), F.broadcast(index.dictionary)), "entries")  # the dictionary has at most 50,653 rows
+    entries = probe(query_table_of(queries, id_col, text_col), F.broadcast(index.dictionary))  # of at most 50,653 rows
+    entries = written(entries, "entries") if boosts else entries
     n, limit = queries.count(), max(0, limit)
     kept = batch.matches(index, entries, n, limit, max_candidates, filters).withColumnRenamed("weight", "_weight")
     out = _fetch(kept, index, n * limit)

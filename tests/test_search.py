@@ -125,6 +125,21 @@ def test_many_queries_are_the_simulation(spark, monkeypatch, seed):
             assert all(abs(r.score - w[1]) < 0.011 for r, w in zip(own, want)) and [r["rank"] for r in own] == list(range(1, len(own) + 1))
 
 
+@pytest.mark.parametrize("steps", [2, 7, 512])
+def test_where_the_cap_is_reached(spark, monkeypatch, steps):
+    monkeypatch.setattr(batch, "STEPS", steps)
+    rng = random.Random(steps)
+    docs = {i * i + 5: " ".join(rng.choice(WORDS) for _ in range(4)) for i in range(60)}
+    index = build(spark.createDataFrame(list(docs.items()), "doc_id long, name string"))
+    have = {}
+    for i, text in docs.items():
+        for g in A.tokenize(text):
+            have.setdefault(g, []).append(i)
+    for most in (1, 5, 12, 1000):
+        found = batch.since(index, most)
+        assert all(found[batch._ordinal(g)] == (v[-most] if len(v) > most else -(1 << 63)) for g, v in have.items())
+
+
 def test_plans(spark, tmp_path):
     """Candidates read postings once and no text; documents' texts are read for the rows that are left only."""
     df = spark.createDataFrame([(i, f"red {i}", i) for i in range(50)], "doc_id long, name string, size int")
