@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import analyze as A
 from lexigrove.operators import batch, retrieve
-from lexigrove.operators.index import Index, build
+from lexigrove.operators.index import Index
+from lexigrove.operators.index import build as lazy
+from lexigrove.sources.workdir import written
 
 WORDS = ["red", "green", "blue", "ring", "rings", "widget", "wide", "bolt", "bold", "gear", "plate", "late", "12", "x"]
 
 
+def build(df):
+    """An index whose tables are written down, as a stored one's are."""
+    index = lazy(df, keep=lambda rows: written(rows, "test"))
+    names = ("documents", "postings", "dictionary", "stats", "forward")
+    own = {n: written(getattr(index, n).coalesce(2), "test") for n in names}
+    return Index(own["documents"], own["postings"], own["dictionary"], own["stats"], None, index.fields, own["forward"])
+
+
 def corpus(rng, n=40):
     out = {}
     for i in range(n):
@@ -140,15 +150,11 @@ def test_where_the_cap_is_reached(spark, monkeypatch, steps):
         assert all(found[batch._ordinal(g)] == (v[-most] if len(v) > most else -(1 << 63)) for g, v in have.items())
 
 
-def test_plans(spark, tmp_path):
+def test_plans(spark):
     """Candidates read postings once and no text; documents' texts are read for the rows that are left only."""
     df = spark.createDataFrame([(i, f"red {i}", i) for i in range(50)], "doc_id long, name string, size int")
     index = build(df)
-    parts = {}
-    for name in ("documents", "postings", "dictionary", "stats", "forward"):
-        getattr(index, name).write.parquet(str(tmp_path / name))
-        parts[name] = spark.read.parquet(str(tmp_path / name))
-    index = Index(parts["documents"], parts["postings"], parts["dictionary"], parts["stats"], None, ("name", "size"), parts["forward"])
+
     def scans(df):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
