@@ -460,6 +460,18 @@ def test_suffix_family_of_nothing(spark):
     assert one[0].n_removed == 0 and bytes(one[0].kept).decode() == LONG and one[1].n_bytes == 0
 
 
+def test_passages_that_a_text_repeats(spark):
+    rng = random.Random(15)
+    words = vocabulary(rng)
+    take = lambda n: [rng.choice(words) for _ in range(n)]
+    p, q = take(60), take(60)
+    docs = [(1, " ".join(take(20) + p + take(100) + p + take(10) + p)), (2, " ".join(q + take(30))), (3, " ".join(take(5) + q)), (4, None)]
+    found = chaining.passages(frame(spark, docs), inside=True).collect()
+    near = lambda r: (r.doc_id, r.other_id, round(r.start, -1), round(r.end, -1), round(r.other_start, -1))
+    assert sorted(map(near, found)) == [(1, 1, 180, 240, 20), (1, 1, 250, 310, 20), (3, 2, 0, 60, 0)]
+    assert [r.doc_id for r in chaining.passages(frame(spark, docs)).collect()] == [3]
+
+
 def test_copies_are_passages_of_the_first(spark):
     rng = random.Random(5)
     words = vocabulary(rng)
