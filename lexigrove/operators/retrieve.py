@@ -36,6 +36,14 @@ def query_table_of(queries: DataFrame, id_col: str = "query_id", text_col: str =
     return queries.select(F.col(id_col).cast("long").alias("query_id"), F.posexplode(X.tokenize(F.col(text_col))).alias("pos", "trigram")).select("query_id", "trigram", "pos")
 
 
+def _entries(spark, rows: list[tuple]) -> DataFrame:
+    """(query_id, trigram, df, trank) of rows on the driver; a few are part of the plan itself, which needs no job to send them."""
+    if not 0 < len(rows) <= 1000:
+        return spark.createDataFrame(rows, "query_id long, trigram string, df long, trank int")
+    values = ", ".join(f"({q}L, '{t}', {n}L, {i})" for q, t, n, i in rows)  # trigrams are of a-z, 0-9 and #
+    return spark.sql(f"SELECT * FROM VALUES {values} AS e(query_id, trigram, df, trank)")
+
+
 def probe(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(query_id, trigram, df, trank, k): known trigrams of each query, the rarest first; k of them."""
     known = queries.join(dictionary, "trigram")
@@ -115,8 +123,8 @@ def rank_boosted(kept: DataFrame, index: Index, entries: DataFrame, boosts: dict
     rows = kept.join(F.broadcast(idfs) if single else idfs, "query_id")
     strings = [f.name for f in index.documents.schema.fields if isinstance(f.dataType, T.StringType)]
     total, weight = F.lit(0.0), F.lit(0.0)
+    rows = rows.withColumns({f"_t{i}": X.tokenize(F.col(f"`{name}`")) for i, name in enumerate(strings)})
     for i, name in enumerate(strings):
-        rows = rows.withColumn(f"_t{i}", X.tokenize(F.col(f"`{name}`")))
         boost, size = float(boosts.get(name, 1.0)), F.size(f"_t{i}")
         own = S.field_score(F.col(f"_t{i}"), F.col("_idfs"), S.norm(size, F.lit(average)))
         total = total + F.when(size > 0, own / S.score_max(F.lit(float(n))) * F.lit(boost)).otherwise(0.0)
@@ -136,7 +144,7 @@ def search(index: Index, query: str, limit: int = 20, max_candidates: int | None
     df = index.frequencies(trigrams)
     known = sorted(df, key=df.get)  # of equals the first in the query
     n, _ = index.corpus()
-    entries = spark.createDataFrame([(0, t, df[t], i + 1) for i, t in enumerate(known)], "query_id long, trigram string, df long, trank int")
+    entries = _entries(spark, [(0, t, df[t], i + 1) for i, t in enumerate(known)])
     terms = F.broadcast(entries.select("trigram", "trank", S.idf(F.lit(float(n)), F.col("df")).alias("idf")))  # a query's trigrams
     postings = index.postings.where(F.col("trigram").isin(known)) if 0 < len(known) <= SMALL_QUERY else index.postings.limit(0) if not known else index.postings
     capped = max_candidates is not None and max(df.values(), default=0) > max_candidates
