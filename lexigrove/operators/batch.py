@@ -120,12 +120,13 @@ def since(index: Index, most: int):
         out = np.full(TRIGRAMS, -(1 << 63), dtype=np.int64)
         capped = [r["trigram"] for r in index.dictionary.where(F.col("df") > most).select("trigram").collect()]  # at most TRIGRAMS
         lo, hi = index.forward.agg(F.min("doc_id"), F.max("doc_id")).first() if capped else (0, 0)
+        postings = index.postings.where(F.col("trigram").isin(capped)) if len(capped) <= 4096 else index.postings
         width, cut = hi - lo + 1, [(t, lo, most) for t in capped]  # where each one's cap is reached, from lo on, and how many of the newest are left
         while capped:
             step = -(-width // STEPS)
-            near = F.broadcast(spark.createDataFrame(cut, "trigram string, lo long, need long"))
+            near = F.broadcast(spark.createDataFrame(pa.table(list(map(pa.array, zip(*cut))), names=["trigram", "lo", "need"])))
             place = F.floor((F.col("doc_id") - F.col("lo")) / step)
-            rows = index.postings.join(near, "trigram").where((F.col("doc_id") >= F.col("lo")) & (F.col("doc_id") < F.col("lo") + width))
+            rows = postings.join(near, "trigram").where((F.col("doc_id") >= F.col("lo")) & (F.col("doc_id") < F.col("lo") + width))
             rows = rows.groupBy("trigram", "lo", "need", place.alias("at")).agg(F.count("*").alias("n"))
             above = F.coalesce(F.sum("n").over(Window.partitionBy("trigram").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most STEPS rows
             rows = rows.withColumn("above", above).where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
