@@ -391,6 +391,66 @@ def test_passages_with_changed_words(spark):
     assert all(v == 1 if kind[0] == "every" else v >= 0.9 for kind, v in share.items()), share
 
 
+def every_link(docs):
+    """(later, earlier) of docs with an unbroken diagonal of 40 words or more of which 0.7 are equal, by trying all."""
+    out = set()
+    for d, p in docs:
+        for o, q in docs:
+            if o < d and len(set(p.split()) & set(q.split())) >= 28:
+                p_, q_ = np.array(p.split()), np.array(q.split())
+                for k in range(-len(p_) + 40, len(q_) - 39):
+                    a, z = max(0, -k), min(len(p_), len(q_) - k)
+                    equal = np.concatenate(([0], np.cumsum(p_[a:z] == q_[a + k : z + k])))
+                    if any((equal[n:] - equal[:-n]).max() >= 0.7 * n for n in range(40, min(80, z - a + 1))):
+                        out.add((d, o))
+    return out
+
+
+def test_all_links_are_found(spark, monkeypatch):
+    """Passages at the threshold, those whose k-mers stand first in unrelated texts, and those of many documents; the same matches in one round or many."""
+    rng = random.Random(31)
+    fresh = (f"w{i}" for i in range(1_000_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    docs = []
+    add = lambda words: docs.append((len(docs), " ".join(words)))
+    for _ in range(40):  # 40 words of which 28 are equal, in runs of 4 to 2, with two k-mers or three apart
+        p = take(40)
+        q = [next(fresh) if i in {4, 7, 10, 13, 16, 19, 22, 25, 28, 31, 34, 35} else w for i, w in enumerate(p)]
+        add(take(30) + p + take(30))
+        add(take(20) + q + take(40))
+    for _ in range(10):  # each k-mer is in an earlier text of its own
+        p = take(45)
+        for i in range(0, 45, 3):
+            add(take(10) + p[i : i + 5] + take(10))
+        add(take(20) + p + take(20))
+        add(take(30) + p + take(20))
+    p, phrase = take(42), take(20)
+    for _ in range(30):  # all pairs of many, and a phrase of many that is too short
+        add(take(20) + p + take(5))
+        add(take(9) + phrase + take(30))
+    want = every_link(docs)
+    assert len(want) == 40 + 10 + 435
+    assert {(r.doc_id, r.other_id) for r in chaining.passages(frame(spark, docs)).collect()} == want
+    places = chaining.groups(chaining.seeds(frame(spark, docs).withColumnRenamed("doc_id", "doc"))).cache()
+    found = lambda n: sorted(m for i in range(n) for r in chaining.matches(places, 3, i, n).collect() for m in np.frombuffer(r.found, chaining.MATCH).tolist())
+    once = found(1)
+    monkeypatch.setattr(chaining, "PIECE", 101)
+    assert len(once) > 435 and found(5) == once
+    monkeypatch.setattr(chaining, "HELD", 1)
+    places.unpersist()
+    assert found(2) == once
+
+
+def test_a_passage_after_excerpts_of_it(spark):
+    """What stands before it in the same text, or in another one of its id, hides none of its k-mers."""
+    fresh = (f"w{i}" for i in range(1_000_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    p, q = take(100), take(100)
+    docs = [(1, " ".join(p)), (2, " ".join(take(20) + p[:35] + take(100) + p[33:68] + take(100) + p[66:] + take(100) + p)), (3, " ".join(q)), (4, " ".join(q + ["end"])), (4, " ".join(take(5) + q[5:8] + take(200)))]
+    found = {(r.doc_id, r.other_id, r.n_equal) for r in chaining.passages(frame(spark, docs)).collect()}
+    assert found == {(2, 1, 100), (4, 3, 100)}
+
+
 def test_alignment():
     a = np.arange(100, 200, dtype=np.uint64)
     assert chaining.align(a, a, [(0, 100, 0)]) == (0, 100, 0, 100, 100)
