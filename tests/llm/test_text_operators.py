@@ -441,6 +441,44 @@ def test_all_links_are_found(spark, monkeypatch):
     assert found(2) == once
 
 
+def test_a_common_phrase_is_not_aligned_for_every_pair(spark):
+    """A phrase among unlike words is no chain, and hides no passage around it, nor one of several texts of one id."""
+    rng = random.Random(41)
+    fresh = (f"w{i}" for i in range(1_000_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    phrase = take(13)
+    docs = [(i, " ".join(take(rng.randint(0, 60)) + phrase + take(rng.randint(0, 60)))) for i in range(100)]
+    want = set()
+    for i in range(20):  # 40 words of which 31 are equal, the phrase and two at a time around it
+        a, k = rng.choice([0, 9, 15, 27]), len(docs)
+        one, two = take(a), take(27 - a)
+        other = lambda words: [w if n % 3 else next(fresh) for n, w in enumerate(words)]
+        docs += [(k, " ".join(take(i) + one + phrase + two)), (k + 1, " ".join(other(one[::-1])[::-1] + phrase + other(two)))]
+        want.add((k + 1, k))
+    k, p = len(docs), take(40)
+    docs += [(k, " ".join(take(40) + phrase + take(40))), (k, " ".join(take(5) + p[:20] + phrase + p[20:])), (k + 1, " ".join(take(9) + p[:20] + phrase + p[20:]))]
+    want.add((k + 1, k))
+    df = frame(spark, docs)
+    assert {(r.doc_id, r.other_id) for r in chaining.passages(df).collect()} == want
+    places = chaining.groups(chaining.seeds(df.withColumnRenamed("doc_id", "doc")))
+    found = chaining.linked(chaining.matches(places, 1).repartition(1)).count()
+    assert found < 1000  # of over 10,000 pairs with the phrase
+
+
+def test_segments_that_may_be_passages():
+    """As trying all numbers of words on either side says."""
+    rng = np.random.default_rng(42)
+    left, right = (np.packbits(rng.random((400, 32)) > rng.choice([0.25, 0.4], (400, 1)), axis=1, bitorder="little").view("<u4").ravel() for _ in range(2))
+    span = rng.integers(3, 45, 400)
+
+    def sides(bits):
+        equal = np.concatenate(([0], np.cumsum([not int(bits) >> i & 1 for i in range(32)] + [True] * 8)))
+        return [(n, int(e)) for n, e in enumerate(equal) if 2 * e >= n]
+
+    want = [any(a + b + s >= 40 and e + f + s >= 0.7 * (a + b + s) - 1e-6 for a, e in sides(x) for b, f in sides(y)) for s, x, y in zip(span.tolist(), left, right)]
+    assert 0.1 < np.mean(want) < 0.9 and chaining.promising(span, left, right).tolist() == want
+
+
 def test_a_passage_after_excerpts_of_it(spark):
     """What stands before it in the same text, or in another one of its id, hides none of its k-mers."""
     fresh = (f"w{i}" for i in range(1_000_000))
