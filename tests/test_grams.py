@@ -11,6 +11,8 @@ from lexigrove import workload
 from lexigrove.functions import analyze as A
 from lexigrove.functions import grams as G
 from lexigrove.operators import index as I
+from lexigrove.operators import retrieve
+from lexigrove.operators.highlight import highlight, matching
 from lexigrove.sources.workdir import shared_dir
 
 TABLES = "/root/testdata/sf0.001"
@@ -56,3 +58,22 @@ def test_only_what_a_query_asks_for_is_written(spark, monkeypatch):
     assert sorted(os.listdir(f"{base}/{folder}")) == ["analysed", "dictionary", "stats"]
     assert workload.QUERIES["search_intersection"](spark, TABLES).count()
     assert sorted(os.listdir(f"{base}/{folder}")) == ["analysed", "dictionary", "postings", "stats"]
+
+
+def test_words_of_a_text_are_analysed_together(spark):
+    """Highlighting made plans of expressions by word, each with a text analysis of its own, twice."""
+    rows = [(0, "x " * 300 + "Réd <b>red</b> rings&amp;re " + "y " * 300), (1, None), (2, ""), (3, "blue  sky"), (4, "  red")]
+    df = spark.createDataFrame(rows, "i int, x string")
+    shown = df.select("i", highlight(F.col("x"), A.tokenize("red"), excerpt=False).alias("h"), matching(F.split("x", " "), ["#re"]).alias("m"), highlight(F.col("x"), [], excerpt=True).alias("none"))
+    got = {r.i: r for r in shown.collect()}
+    assert got[0].h == "x " * 300 + "<mark>Réd</mark> <mark><b>red</b></mark> <mark>rings&amp;re</mark> " + "y " * 299 + "y" and got[4].h == "<mark>red</mark>"
+    assert got[1].h is got[2].h is got[3].h is got[1].m is None and got[3].m == [False] * 3 and all(r.none is None for r in got.values())
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_a_task_sends_the_last_postings_only(spark):
+    """Beyond 1,000 rows a group Spark sends all rows of a trigram to one task, unless it is told otherwise."""
+    index = I.build(spark.createDataFrame([(i, "red") for i in range(40)], "doc_id long, x string"))
+    found = retrieve.recent(index.postings, 3000)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 120
