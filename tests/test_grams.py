@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lexigrove import workload
 from lexigrove.functions import analyze as A
 from lexigrove.functions import grams as G
+from lexigrove.operators import batch, retrieve
 from lexigrove.operators import index as I
-from lexigrove.operators import retrieve
 from lexigrove.operators.highlight import highlight, matching
 from lexigrove.sources.workdir import shared_dir
 
@@ -77,3 +77,20 @@ def test_a_task_sends_the_last_postings_only(spark):
     index = I.build(spark.createDataFrame([(i, "red") for i in range(40)], "doc_id long, x string"))
     found = retrieve.recent(index.postings, 3000)
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 120
+
+
+@pytest.mark.parametrize("counts", [40, 1 << 22])
+def test_many_queries_read_no_postings(spark, monkeypatch, counts):
+    """The cap's places are counted in what each document has; all postings were read, up to three times, and needed to be there."""
+    monkeypatch.setattr(batch, "COUNTS", counts)
+    monkeypatch.setattr(batch, "COLUMNS", 3)
+    rows = [(i * i, "red ring" if i % 3 else "red bolt") for i in range(50)]
+    index = I.build(spark.createDataFrame(rows, "doc_id long, x string"))
+    index.postings = None
+    for most in (4, 20):
+        found = batch.since(index, most)
+        for g in ("#re", "rin", "bol"):
+            have = [i for i, x in rows if g in A.tokenize(x)]
+            assert found[batch._ordinal(g)] == (have[-most] if len(have) > most else -(1 << 63))
+    many = retrieve.search_many(index, spark.createDataFrame([(7, "bolt")], "query_id long, query string"), 3, 4).collect()
+    assert [r.doc_id for r in many] == [39 * 39, 42 * 42, 45 * 45]
