@@ -13,6 +13,7 @@ from lexigrove.functions import grams as G
 from lexigrove.operators import batch, retrieve
 from lexigrove.operators import index as I
 from lexigrove.operators.highlight import highlight, matching
+from lexigrove.plans.engine import SearchEngine
 from lexigrove.sources.workdir import shared_dir
 
 TABLES = "/root/testdata/sf0.001"
@@ -94,3 +95,18 @@ def test_many_queries_read_no_postings(spark, monkeypatch, counts):
             assert found[batch._ordinal(g)] == (have[-most] if len(have) > most else -(1 << 63))
     many = retrieve.search_many(index, spark.createDataFrame([(7, "bolt")], "query_id long, query string"), 3, 4).collect()
     assert [r.doc_id for r in many] == [39 * 39, 42 * 42, 45 * 45]
+
+
+def test_what_an_insert_leaves(spark, tmp_path):
+    """Rows that were only numbered stayed until the commit; a field may have the name of a column of the store's own."""
+    engine = SearchEngine(spark).open(str(tmp_path / "index"), "_grams string, x string")
+    seen, write = [], engine.store._write
+    engine.store._write = lambda *a: seen.append(os.listdir(engine.store.path)) or write(*a)
+    engine.insert_bulk([{"_grams": "red", "x": "blue"}, {"_grams": None, "x": "Réd"}])
+    assert seen and not any(n.startswith("rows-") for n in seen[0])
+    index = engine.store.index()
+    assert [(r.doc_id, r._grams, r.x, r.n_trigrams) for r in index.documents.orderBy("doc_id").collect()] == [(0, "red", "blue", 7), (1, None, "Réd", 3)]
+    assert sorted((r.trigram, r.doc_id) for r in index.postings.collect()) == sorted([(t, i) for t in A.tokenize("red") for i in (0, 1)] + [(t, 0) for t in A.tokenize("blue")])
+    engine.delete(0)
+    engine.compact()
+    assert [r.x for r in engine.search("red blue").collect()] == ["Réd"] and engine.store.index().postings.count() == 3
