@@ -1,5 +1,6 @@
 """Analysis by tables, postings in ranges, and what of a stored index is written."""
 
+import json
 import os
 import random
 import uuid
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigrove import workload
 from lexigrove.functions import analyze as A
 from lexigrove.functions import grams as G
-from lexigrove.operators import batch, retrieve
+from lexigrove.operators import batch, dynamic, retrieve
 from lexigrove.operators import index as I
 from lexigrove.operators.highlight import highlight, matching
 from lexigrove.plans.engine import SearchEngine
@@ -110,3 +111,34 @@ def test_what_an_insert_leaves(spark, tmp_path):
     engine.delete(0)
     engine.compact()
     assert [r.x for r in engine.search("red blue").collect()] == ["Réd"] and engine.store.index().postings.count() == 3
+
+
+def test_strings_of_json_in_one_expression(spark):
+    """Documents were walked level by level, each level from the start, and what lay deeper than eight was written down."""
+    rng = random.Random(4)
+    bits = ['"', "\\", ":", ",", "{", "}", "[", "]", "a", "é", "日", "😀", "\n", "\t", "\x01", "/", '":', " "]
+
+    def word():
+        return "".join(rng.choice(bits) for _ in range(rng.randint(0, 6)))
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 12 or kind < 0.4:
+            return rng.choice([word(), word(), 1, 1.5, None, True, 10**22])
+        return [value(depth + 1) for _ in range(rng.randint(0, 3))] if kind < 0.7 else {word(): value(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    def walk(v):
+        if isinstance(v, str):
+            yield v
+        for x in v if isinstance(v, list) else [v[k] for k in sorted(v, key=str.encode)] if isinstance(v, dict) else ():
+            yield from walk(x)
+
+    docs = [json.dumps(value(0), ensure_ascii=rng.random() < 0.5) for _ in range(500)] + ['["' + "a\\n" * 100_000 + '"]', "[" * 300 + '"x"' + "]" * 300]
+    df = spark.createDataFrame(list(enumerate([*docs, "no json", None])), "i long, j string")
+    parsed = df.select("i", F.try_parse_json("j").alias("doc"))
+    got = {r.i: r.t for r in parsed.select("i", dynamic.texts(F.col("doc")).alias("t")).collect()}
+    assert [got[i] for i in range(len(docs))] == [list(walk(json.loads(d))) for d in docs] and got[len(docs)] is got[len(docs) + 1] is None
+    rows = dynamic.strings(parsed, "i", "doc").where("i < 50").orderBy("i", "at").collect()
+    assert [r.value for r in rows] == [s for d in docs[:50] for s in walk(json.loads(d))]
+    plan = dynamic.build(df, "i", "j").documents._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Union", "Generate", "FileScan"))
