@@ -15,7 +15,7 @@ from lexigrove.operators import batch, dynamic, retrieve
 from lexigrove.operators import index as I
 from lexigrove.operators.highlight import highlight, matching
 from lexigrove.plans.engine import SearchEngine
-from lexigrove.sources.workdir import shared_dir
+from lexigrove.sources.workdir import shared_dir, written
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -142,3 +142,13 @@ def test_strings_of_json_in_one_expression(spark):
     assert [r.value for r in rows] == [s for d in docs[:50] for s in walk(json.loads(d))]
     plan = dynamic.build(df, "i", "j").documents._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Join", "Union", "Generate", "FileScan"))
+
+
+@pytest.mark.parametrize("steps", [2, 3, 5])
+def test_where_the_cap_is_reached_among_ids_without_gaps(spark, monkeypatch, steps):
+    """The last range of a round was counted to its full size, with newer documents that had been counted already."""
+    monkeypatch.setattr(batch, "STEPS", steps)
+    index = I.build(spark.createDataFrame([(i, "red") for i in range(41)], "doc_id long, x string"))
+    index = I.Index(*[written(x, "test") for x in (index.documents, index.postings, index.dictionary, index.stats)], None, (), written(index.forward, "test"))
+    for most in (1, 4, 17, 27, 40):
+        assert batch.since(index, most)[batch._ordinal("red")] == 41 - most
